@@ -8,6 +8,15 @@ from ..session import table
 from .mixing import mix
 from .repetition import SHARE, repetition
 from .tokenizing import encode_column, vocabulary_path
+from .unparsable import rates, unparsable
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return unparsable(table(spark, folder, "documents"), only_broken=True).select("doc_id")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return rates(table(spark, folder, "documents"), table(spark, folder, "files"))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,7 +39,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(table(spark, folder, "documents")).select("doc_id", "words", "repeated")
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_draws": p7_draws, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p6_ids": p6_ids, "p7_draws": p7_draws, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _WORDS = r"""
 w AS (

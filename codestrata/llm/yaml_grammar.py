@@ -1,0 +1,86 @@
+"""Whether a text is YAML: by libyaml or PyYAML where one is installed, else by the layout rules here."""
+
+from __future__ import annotations
+
+import re
+
+try:
+    import yaml
+
+    _Loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+except ImportError:
+    yaml = None
+
+_key = re.compile(r"(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^\s\-?:,\[\]{}#&*!|>'\"%@`][^#]*?|[-?:](?=\S)[^#]*?)\s*:(?=\s|$)")
+
+
+def first_error(text: str) -> int:
+    """-1, or the line (from 1) where the grammar is left."""
+    if yaml is None:
+        return by_layout(text)
+    try:
+        for _ in yaml.parse(text, Loader=_Loader):
+            pass
+        return -1
+    except yaml.YAMLError as e:
+        mark = getattr(e, "problem_mark", None)
+        return mark.line + 1 if mark else 1
+    except RecursionError:
+        return -1
+
+
+def by_layout(text: str) -> int:
+    """The rules that broken files break most: tabs in indentation, indentation that fits no open level, open
+    quotes and brackets, a key inside a value, and lines that are neither key, item nor value."""
+    levels: list[tuple[int, str]] = []  # (indent, "map" or "seq")
+    block = -1  # indentation of the key of an open block text
+    for n, raw in enumerate(text.split("\n"), 1):
+        line = raw.rstrip("\r ")
+        indent = len(line) - len(line.lstrip(" "))
+        body = line[indent:]
+        if not body or body.startswith("#") and block < 0:
+            continue
+        if block >= 0:
+            if indent > block:
+                continue
+            block = -1
+            if body.startswith("#"):
+                continue
+        if body.startswith("\t"):
+            return n
+        if body in ("---", "...") or body.startswith(("--- ", "%")):
+            levels = []
+            continue
+        while levels and levels[-1][0] > indent:
+            levels.pop()
+        while body.startswith("- ") or body == "-":
+            if levels and levels[-1] == (indent, "map") and len(levels) > 1 and levels[-2][0] == indent:
+                levels.pop()
+            if not levels or levels[-1][0] < indent or levels[-1] == (indent, "map"):
+                levels.append((indent, "seq"))
+            rest = body[1:].lstrip(" ")
+            indent += len(body) - len(rest)
+            body = rest
+        if not body:
+            continue
+        m = _key.match(body)
+        if m:
+            if levels and levels[-1][0] == indent and levels[-1][1] == "seq":
+                levels.pop()
+                if not levels or levels[-1][0] != indent:
+                    return n
+            if not levels or levels[-1][0] < indent:
+                levels.append((indent, "map"))
+            value = body[m.end() :].strip()
+            if re.match(r"[|>][+-]?\d?[+-]?\s*(?:#.*)?$", value):
+                block = indent
+            elif value and value[0] not in "\"'[{#&*!" and re.search(r":(?:\s|$)", re.sub(r"\s#.*", "", value)):
+                return n
+            elif value[:1] in ("'", '"') and value.count(value[0]) % 2 and "\\" not in value:
+                return n
+        elif body[0] in "[{":
+            if body.count("[") + body.count("{") < body.count("]") + body.count("}"):
+                return n
+        elif body[0] in "@`%":
+            return n
+    return -1
