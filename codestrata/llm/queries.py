@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
+from .credentials import compiled, find, redact
 from .mixing import mix
 from .repetition import SHARE, repetition
 from .tokenizing import encode_column, vocabulary_path
@@ -19,6 +20,20 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rates(table(spark, folder, "documents"), table(spark, folder, "files"))
 
 
+def _patterns(spark: SparkSession, folder: str) -> tuple:
+    """The fixed list of eight expressions."""
+    return compiled(table(spark, folder, "secret_patterns").orderBy("pattern_id").collect())
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = find(table(spark, folder, "documents"), _patterns(spark, folder))
+    return rows.dropDuplicates(["doc_id", "line_no"]).select("doc_id", "line_no")
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redact(table(spark, folder, "documents"), table(spark, folder, "policies"), _patterns(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_column(table(spark, folder, "documents"), vocabulary_path())
 
@@ -39,7 +54,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(table(spark, folder, "documents")).select("doc_id", "words", "repeated")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p6_ids": p6_ids, "p7_draws": p7_draws, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_draws": p7_draws, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _WORDS = r"""
 w AS (
