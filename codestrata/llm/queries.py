@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from .credentials import compiled, find, redact
+from .machine_written import machine_written
 from .mixing import mix
 from .repetition import SHARE, repetition
 from .tokenizing import encode_column, vocabulary_path
@@ -20,6 +21,10 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rates(table(spark, folder, "documents"), table(spark, folder, "files"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return machine_written(table(spark, folder, "documents"), table(spark, folder, "library_files"), only_found=True).select("doc_id")
+
+
 def _patterns(spark: SparkSession, folder: str) -> tuple:
     """The fixed list of eight expressions."""
     return compiled(table(spark, folder, "secret_patterns").orderBy("pattern_id").collect())
@@ -54,7 +59,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(table(spark, folder, "documents")).select("doc_id", "words", "repeated")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_draws": p7_draws, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_draws": p7_draws, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _WORDS = r"""
 w AS (
