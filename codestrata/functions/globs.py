@@ -93,13 +93,17 @@ def plain(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^\./", ""), r"^/+|/+$", "")
 
 
+def _any_fits(paths: Column, regex: str) -> Column:
+    return F.exists(paths, lambda a: a.rlike(regex))
+
+
 def last_match(path: Column, patterns: list[str]) -> Column:
     """Whether the last rule that fits isn't negated (as in ignore files); false where none fits."""
     p, out = plain(path), F.lit(False)
     for r in rules(patterns):
         fits = p.rlike(r.regex)
         if r.directory:
-            fits = fits | F.exists(ancestors(p), lambda a, r=r: a.rlike(r.regex))
+            fits = fits | _any_fits(ancestors(p), r.regex)
         out = F.when(fits, not r.negated).otherwise(out)
     return F.when(p == "", False).otherwise(out)
 
