@@ -53,6 +53,8 @@ SYNONYMS = {
     "boundary": "contract interface port",
 }
 SYNONYM_WEIGHT = 0.45
+#: White space of Unicode, written so that Java and RE2 read it alike.
+SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 # Endings that stemming takes off, in the order they are tried.
 ENDINGS = ((r"ies$", "y"), (r"(ss|us|is)es$", "$1"), (r"([^s])s$", "$1"), (r"ing$", ""), (r"edly$", ""), (r"ed$", ""), (r"ally$", "al"))
@@ -61,7 +63,7 @@ ENDINGS = ((r"ies$", "y"), (r"(ss|us|is)es$", "$1"), (r"([^s])s$", "$1"), (r"ing
 def split_identifier(text: Column) -> Column:
     """Lower-case words: parted at a change of case, ``_ - .`` and white space; no other mark parts words."""
     spaced = F.regexp_replace(F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.filter(F.split(F.lower(F.regexp_replace(spaced, r"[_\-.]+", " ")), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.regexp_replace(spaced, r"[_\-.]+", " ")), SPACE), lambda w: w != "")
 
 
 def identifier_case(name: Column) -> Column:
@@ -128,7 +130,7 @@ def query_weights(text: str) -> dict[str, float]:
 
 def truncate(text: Column, most: int) -> Column:
     """White space in one line; longer texts end in an ellipsis."""
-    one = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    one = F.trim(F.regexp_replace(text, SPACE, " "))
     return F.when(F.length(one) <= most, one).otherwise(F.concat(F.rtrim(F.substring(one, 1, max(0, most - 1))), F.lit("…")))
 
 

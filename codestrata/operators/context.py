@@ -114,9 +114,7 @@ def explain(t: Tables, repo: str, target: str, detail: str = "auto", threshold:
 
     public = t.exports.filter(in_module).join(paths, ["repo", "path"], "left_semi")
     inner = t.symbols.filter(of).join(paths, ["repo", "path"], "left_semi").join(public.select("repo", "path", "name"), ["repo", "path", "name"], "left_anti").select("path", "name", "kind", "line")
-    facts = lambda df: df.filter(of & F.exists("evidence", lambda e: F.substring_index(e, "#", 1) == "\0") | of)
     said = t.conventions.filter(of).withColumn("file", F.explode("evidence")).join(paths.withColumnRenamed("path", "file"), ["repo", "file"], "left_semi").select("id", "category", "statement", "confidence").distinct()
-    del facts
     out = {
         "target": spark.createDataFrame([(repo, hit.module, hit.path, hit.matched, hit.scope, "compact" if compact else "full", int(size))], "repo string, module string, path string, matched string, scope string, detail string, source_bytes bigint"),
         "roles": t.roles.filter(in_module).withColumn("evidence", F.slice("evidence", 1, budget)).orderBy("rank"),
