@@ -27,6 +27,7 @@ _jsx_name = re.compile(r"[A-Za-z_$][\w$.:-]*")
 _jsx_attr = re.compile(r"[A-Za-z_$][\w$:-]*")
 _jsx_str = re.compile(r"\"[^\"]*\"|'[^']*'")
 _blank = re.compile(r"(?:\s|/\*[\s\S]*?\*/|//[^\n]*)*")
+_angle = re.compile(r"<|(?<!=)>")
 _jsx_text = re.compile(r"[^{}<>]*")
 _generic_arrow = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b[^=>]*[,>])")
 
@@ -173,6 +174,16 @@ def _jsx(text: str, at: int, out: Tokens) -> int:
     start = at
     m = _jsx_name.match(text, at + 1)
     name, at = (m.group(), m.end()) if m else ("", at + 1)
+    if name and text.startswith("<", at):  # type arguments
+        depth = 0
+        while True:
+            m = _angle.search(text, at)
+            if m is None:
+                raise Unlexable(start)
+            depth += 1 if m.group() == "<" else -1
+            at = m.end()
+            if not depth:
+                break
     while True:
         at = _blank.match(text, at).end()
         if text.startswith("/>", at):
