@@ -89,5 +89,5 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str, total: fl
     done = F.coalesce("drawn_tokens", F.lit(0))
     shares = plan.join(drawn, ["mix_name", "source"], "left").select(
         "mix_name", "source", F.round("asked", 6).alias("target_share"), F.col("available").alias("available_tokens"), done.alias("drawn_tokens"),
-        F.round(F.coalesce(done / F.sum(done).over(W.partitionBy("mix_name")), F.lit(0.0)), 6).alias("share"), F.coalesce("max_copies", F.lit(0)).alias("max_copies"))
+        F.round(F.coalesce(F.try_divide(done, F.sum(done).over(W.partitionBy("mix_name"))), F.lit(0.0)), 6).alias("share"), F.coalesce("max_copies", F.lit(0)).alias("max_copies"))
     return draws, shares
