@@ -12,11 +12,12 @@ from ..functions import paths as P
 from ..functions import words
 from ..functions.globs import any_match, last_match
 from ..functions.packages import importance, is_builtin, package_name, signals
-from ..functions.secret_rules import RULES, contains_secret, matched_rules, redact
+from ..functions.secret_rules import contains_secret, matched_rules, redact
 from ..operators import files as file_ops
-from ..operators import graph, issues, modules, resolution, rules, search, tables
+from ..operators import conventions, graph, issues, modules, resolution, rules, search, tables, workspace
 from ..session import cut, table
-from ..sources.quick_imports import SCRIPTS, STATEMENT, quick_imports
+from ..sources.facts import read_facts
+from ..sources.quick_imports import SCRIPTS, quick_imports
 
 NO_PACKAGES = "repo string, name string, directory string, entries array<string>"
 ALIASES = (("@app/*", ["src/*", "lib/*"], "", "tsconfig.json"), ("~/*", ["src/*"], "", "tsconfig.json"))
@@ -246,6 +247,33 @@ def set_difference(spark, folder):
     return tables.difference(table(spark, folder, "files"), _docs(spark, folder), ["repo", "path"])
 
 
+def import_statistics(spark, folder):
+    i = _imports(spark, folder).select("repo", "path", "specifier", "syntax", F.col("at").alias("line"), F.lit(False).alias("type_only"))
+    a = spark.createDataFrame(list(ALIASES), "pattern string, targets array<string>, base string, source string")
+    a = i.select("repo").distinct().crossJoin(F.broadcast(a))
+    return conventions.import_statistics(i, a).select("repo", "files", *(F.col(c).cast("long").alias(c) for c in ("relative", "alias", "external", "explicit", "mixed_files", "external_first")))
+
+
+def package_managers(spark, folder):
+    d = _docs(spark, folder)
+    m = workspace.managers(d, read_facts(d.filter("path LIKE '%package.json'")))
+    return m.select("repo", "manager", F.array_join("lockfiles", ",").alias("lockfiles"))
+
+
+def parse_reuse(spark, folder):
+    """Files whose content was read before (here: stands in a document with an even id), and files to be read."""
+    d = _docs(spark, folder).select("doc_id", "repo", "path", F.sha2("text", 256).alias("hash"), file_ops.language_of(F.col("path")).alias("language")).filter("hash IS NOT NULL")
+    fresh, known = file_ops.to_parse(d.filter("doc_id % 2 = 1").drop("doc_id"), d.filter("doc_id % 2 = 0").select("hash", "language"))
+    n = lambda df, name: df.groupBy("repo").agg(F.count("*").alias(name))
+    return n(fresh, "fresh").join(n(known, "known"), "repo", "full_outer").na.fill(0)
+
+
+def unread_targets(spark, folder):
+    """Delivered records of files without a document, by the kind their path stands for."""
+    f = table(spark, folder, "files").select("repo", "path").distinct()
+    return tables.difference(f, _docs(spark, folder), ["repo", "path"]).groupBy("repo", file_ops.kind_of(F.col("path")).alias("kind")).agg(F.count("*").alias("files"))
+
+
 # search
 def _search_documents(spark, folder):
     d = _docs(spark, folder)
@@ -281,6 +309,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         path_parts, identifier_case_tally, dominant_case, stem_terms, path_words, classified_files, sensitive_files, scan_scope, secret_rules, languages_counted, content_duplicates, markdown_headings, markdown_links, json_keys, manifests, static_imports, resolved_imports, import_gaps, package_signals,
-        module_files, module_edges, module_neighbours, incoming_imports, external_packages, directory_cycles, dependents_within_3, affected_modules, edges_between, longest_prefix, noisy_or_roles, layering_violations, precision_recall, evidence_coverage, first_wins, set_difference, bm25_search, term_frequencies, listing_changes,
+        module_files, module_edges, module_neighbours, incoming_imports, external_packages, directory_cycles, dependents_within_3, affected_modules, edges_between, longest_prefix, noisy_or_roles, layering_violations, precision_recall, evidence_coverage, first_wins, set_difference, import_statistics, package_managers, parse_reuse, unread_targets, bm25_search, term_frequencies, listing_changes,
     )
 }

@@ -212,6 +212,15 @@ SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, round
     "evidence_coverage": "SELECT count(*) AS judgements, count(*) FILTER (len(attempts) > 0) AS with_evidence, round(count(*) FILTER (len(attempts) > 0) / nullif(count(*), 0), 4) AS share FROM unresolved_imports",
     "first_wins": "SELECT repo, path, said FROM (SELECT repo, path, lang AS said, 0 AS p FROM documents WHERE lang IS NOT NULL UNION ALL SELECT repo, path, language, 1 FROM files WHERE language IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY p, said) = 1",
     "set_difference": "SELECT DISTINCT repo, path FROM files f WHERE NOT EXISTS (FROM documents d WHERE d.repo = f.repo AND d.path = f.path)",
+    "import_statistics": f"""WITH {IMPORTS}, c AS (SELECT *, specifier LIKE '.%' AS rel, specifier LIKE '@app/%' OR specifier LIKE '~/%' AS ali FROM im),
+f AS (SELECT repo, path, count(*) FILTER (rel) AS relative, count(*) FILTER (ali) AS alias, count(*) FILTER (NOT rel AND NOT ali AND specifier NOT LIKE 'node:%') AS external, count(*) FILTER (rel AND regexp_matches(specifier, '[.](js|mjs|cjs)$')) AS explicit, min(n) FILTER (rel OR ali) AS fi, max(n) FILTER (NOT rel AND NOT ali) AS le FROM c GROUP BY ALL)
+SELECT repo, count(*) AS files, sum(relative)::BIGINT AS relative, sum(alias)::BIGINT AS alias, sum(external)::BIGINT AS external, sum(explicit)::BIGINT AS explicit, count(*) FILTER (fi IS NOT NULL AND le IS NOT NULL) AS mixed_files, count(*) FILTER (le < fi) AS external_first FROM f GROUP BY repo""",
+    "package_managers": f"""WITH l AS (SELECT repo, list_sort(list(DISTINCT path) FILTER (path <> 'pnpm-workspace.yaml')) AS files, list(DISTINCT m) AS ms FROM documents JOIN (VALUES ('package-lock.json', 'npm'), ('npm-shrinkwrap.json', 'npm'), ('pnpm-lock.yaml', 'pnpm'), ('yarn.lock', 'yarn'), ('bun.lock', 'bun'), ('bun.lockb', 'bun'), ('pnpm-workspace.yaml', 'pnpm')) AS k(p, m) ON p = path GROUP BY repo),
+r AS (SELECT repo, split_part(text ->> '$.packageManager', '@', 1) AS declared FROM documents WHERE path = 'package.json' AND {JSON_OK})
+SELECT d.repo, CASE WHEN declared IN ('npm', 'pnpm', 'yarn', 'bun') THEN declared WHEN len(ms) = 1 THEN ms[1] ELSE 'unknown' END AS manager, coalesce(array_to_string(files, ','), '') AS lockfiles FROM (SELECT DISTINCT repo FROM documents) d LEFT JOIN l USING (repo) LEFT JOIN r USING (repo)""",
+    "parse_reuse": f"""WITH d AS (SELECT doc_id, repo, sha256(text) AS h, {LANGUAGE} AS l FROM documents WHERE text IS NOT NULL), k AS (SELECT DISTINCT h, l FROM d WHERE doc_id % 2 = 0)
+SELECT repo, count(*) FILTER (k.h IS NULL) AS fresh, count(*) FILTER (k.h IS NOT NULL) AS known FROM d LEFT JOIN k ON k.h = d.h AND k.l = d.l WHERE doc_id % 2 = 1 GROUP BY repo""",
+    "unread_targets": f"SELECT repo, {KIND} AS kind, count(*) AS files FROM (SELECT DISTINCT repo, path FROM files f WHERE NOT EXISTS (FROM documents d WHERE d.repo = f.repo AND d.path = f.path)) GROUP BY ALL",
     "bm25_search": f"""WITH {POSTINGS}, t AS (SELECT term, weight::DOUBLE AS weight FROM {_WEIGHTS} AS v(term, weight)),
 n AS (SELECT (SELECT count(*) FROM sd)::DOUBLE AS n, (SELECT sum(tf) FROM po)::DOUBLE AS total), l AS (SELECT id, sum(tf)::DOUBLE AS len FROM po GROUP BY id),
 df AS (SELECT term, count(*)::DOUBLE AS df FROM po GROUP BY term),
