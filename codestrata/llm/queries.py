@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import paths as P
+from ..operators.resolution import candidates
 from ..session import table
 from .credentials import compiled, find, redact
 from .machine_written import machine_written
@@ -25,6 +28,18 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return machine_written(table(spark, folder, "documents"), table(spark, folder, "library_files"), only_found=True).select("doc_id")
 
 
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Why a file isn't hand-written, beside the kind the scanner gave it and the imports that called it build output."""
+    d = table(spark, folder, "documents")
+    why = machine_written(d, table(spark, folder, "library_files"))
+    kind = table(spark, folder, "files").groupBy("repo", "path").agg(F.max(F.struct("scanned_at", "kind")).alias("f")).select("repo", "path", "f.kind")
+    u = table(spark, folder, "unresolved_imports").filter("reason = 'excluded-build-output' AND specifier LIKE '.%'").select("repo", "file", "specifier").distinct()
+    at = P.join_strict(P.dirname(F.col("file")), F.col("specifier"))
+    told = u.select("repo", "file", at.alias("j")).filter("NOT j.escaped AND NOT j.absolute").select("repo", "file", F.explode(candidates(F.col("j.path"))).alias("path")).groupBy("repo", "path").agg(F.count_distinct("file").alias("called_output"))
+    rows = d.select("doc_id", "repo", "path").join(why, "doc_id").join(kind, ["repo", "path"], "left").join(told, ["repo", "path"], "left")
+    return rows.select("doc_id", "reason", "kind", F.coalesce("called_output", F.lit(0)).alias("called_output"))
+
+
 def _patterns(spark: SparkSession, folder: str) -> tuple:
     """The fixed list of eight expressions."""
     return compiled(table(spark, folder, "secret_patterns").orderBy("pattern_id").collect())
@@ -59,7 +74,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return repetition(table(spark, folder, "documents")).select("doc_id", "words", "repeated")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_draws": p7_draws, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_ids": p6_ids, "p7_draws": p7_draws, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _WORDS = r"""
 w AS (
