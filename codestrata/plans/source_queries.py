@@ -1,9 +1,12 @@
 """Queries of the operators on source collections, over whole tables, and the SQL they are held against.
 
-``documents`` is the file table (repo, path, text). Imports come from ``quick_imports``, which SQL can say too."""
+``documents`` is the file table (repo, path, text). The queries with SQL take imports from ``quick_imports``, which SQL
+can say too but which finds only part of them; those named ``…_whole`` run on what the token reader finds and have none."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +19,7 @@ from ..functions.secret_rules import contains_secret, matched_rules, redact
 from ..operators import files as file_ops
 from ..operators import conventions, graph, issues, modules, resolution, rules, search, tables, workspace
 from ..session import cut, table
-from ..sources.facts import read_facts
+from ..sources.facts import exploded, read_facts
 from ..sources.quick_imports import SCRIPTS, quick_imports
 
 NO_PACKAGES = "repo string, name string, directory string, entries array<string>"
@@ -108,30 +111,42 @@ def _imports(spark, folder):
     return quick_imports(_docs(spark, folder)).withColumn("syntax", F.lit("static"))
 
 
-def static_imports(spark, folder):
-    return quick_imports(_docs(spark, folder)).select("repo", "path", F.col("at").cast("long").alias("at"), "specifier")
+def _read_imports(spark, folder):
+    """All imports of scripts: also ``require``, ``import()`` and statements over several lines. In files whose tokens or
+    brackets don't fit together, statements that begin a line and that the reader missed are added after its own, as
+    static ones. Kept, for they are used up to five times and the texts are to be read once."""
+    scripts = _docs(spark, folder).filter(F.col("path").rlike(SCRIPTS))
+    facts = cut(read_facts(scripts).select("repo", "path", "status", "imports"))
+    found = exploded(facts, "imports").select("repo", "path", "at", "specifier", "syntax", "type_only")
+    odd = facts.filter("status <> 'ok'").groupBy("repo", "path").agg(F.max(F.size("imports")).alias("n"))
+    more = quick_imports(scripts).join(odd, ["repo", "path"]).join(found, ["repo", "path", "specifier"], "left_anti")
+    return cut(found.unionByName(more.select("repo", "path", (F.col("at") + F.col("n")).alias("at"), "specifier", F.lit("static").alias("syntax"), F.lit(False).alias("type_only"))))
+
+
+def static_imports(spark, folder, read=_imports):
+    return read(spark, folder).select("repo", "path", F.col("at").cast("long").alias("at"), "specifier")
 
 
-def _resolved(spark, folder, imports=None):
+def _resolved(spark, folder, imports):
     d = _docs(spark, folder)
     hidden = table(spark, folder, "files").filter("sensitive").select("repo", "path", F.lit("sensitive").alias("excluded")).distinct()
     known = d.select("repo", "path", F.lit(None).cast("string").alias("excluded")).join(hidden.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(hidden)
     a = spark.createDataFrame(list(ALIASES), "pattern string, targets array<string>, base string, source string")
     aliases = d.select("repo").distinct().crossJoin(F.broadcast(a)).select("repo", "pattern", "targets", "base", "source")
-    return resolution.resolve(_imports(spark, folder) if imports is None else imports, known, aliases, spark.createDataFrame([], NO_PACKAGES))
+    return resolution.resolve(imports, known, aliases, spark.createDataFrame([], NO_PACKAGES))
 
 
-def resolved_imports(spark, folder):
-    return _resolved(spark, folder).select("repo", "path", "specifier", "kind", "target", "reason", "confidence")
+def resolved_imports(spark, folder, read=_imports):
+    return _resolved(spark, folder, read(spark, folder)).select("repo", "path", "specifier", "kind", "target", "reason", "confidence")
 
 
-def import_gaps(spark, folder):
-    u = issues.causes(resolution.unresolved(_resolved(spark, folder)))
+def import_gaps(spark, folder, read=_imports):
+    u = issues.causes(resolution.unresolved(_resolved(spark, folder, read(spark, folder))))
     return tables.fold(u, ["repo", "cause"]).select("repo", "cause", "count", "subject", F.array_join("samples", "|").alias("samples"))
 
 
-def package_signals(spark, folder):
-    s = _imports(spark, folder).select("specifier").distinct()
+def package_signals(spark, folder, read=_imports):
+    s = read(spark, folder).select("specifier").distinct()
     i = importance(package_name(F.col("specifier")), is_builtin(F.col("specifier")), F.lit(False))
     return s.select("specifier", package_name(F.col("specifier")).alias("package"), is_builtin(F.col("specifier")).alias("builtin"), F.array_join(signals(F.col("specifier")), ",").alias("signals"), F.when(package_name(F.col("specifier")).isNotNull(), i["value"]).alias("importance"))
 
@@ -145,57 +160,57 @@ def module_files(spark, folder):
     return _modules(spark, folder).select("repo", "path", "module", "basis", "directory")
 
 
-def _edges(spark, folder):
-    imports = cut(_imports(spark, folder))  # read twice; the texts aren't
+def _edges(spark, folder, read=_imports):
+    imports = cut(read(spark, folder))  # read twice; the texts aren't
     return cut(modules.file_edges(imports, _resolved(spark, folder, imports)))
 
 
-def _module_edges(spark, folder, mods=None):
-    return modules.module_edges(_edges(spark, folder), _modules(spark, folder) if mods is None else mods)
+def _module_edges(spark, folder, read, mods=None):
+    return modules.module_edges(_edges(spark, folder, read), _modules(spark, folder) if mods is None else mods)
 
 
-def module_edges(spark, folder):
-    return _module_edges(spark, folder).select("repo", "source", "target", "files", F.array_join("relationships", ",").alias("relationships"), (F.size("evidence") - 1).cast("long").alias("shown"))
+def module_edges(spark, folder, read=_imports):
+    return _module_edges(spark, folder, read).select("repo", "source", "target", "files", F.array_join("relationships", ",").alias("relationships"), (F.size("evidence") - 1).cast("long").alias("shown"))
 
 
-def module_neighbours(spark, folder):
-    n = modules.neighbours(_module_edges(spark, folder))
+def module_neighbours(spark, folder, read=_imports):
+    n = modules.neighbours(_module_edges(spark, folder, read))
     return n.select("repo", "module", F.array_join("depends_on", "|").alias("depends_on"), F.array_join("used_by", "|").alias("used_by"))
 
 
-def incoming_imports(spark, folder):
-    return modules.incoming(_edges(spark, folder))
+def incoming_imports(spark, folder, read=_imports):
+    return modules.incoming(_edges(spark, folder, read))
 
 
-def external_packages(spark, folder):
+def external_packages(spark, folder, read=_imports):
     none = spark.createDataFrame([], "repo string, package string, dependency string, scope string")
-    return modules.externals(_edges(spark, folder), _modules(spark, folder), none).select("repo", "name", "scope", "files", "modules", "importance", "confidence")
+    return modules.externals(_edges(spark, folder, read), _modules(spark, folder), none).select("repo", "name", "scope", "files", "modules", "importance", "confidence")
 
 
-def _directory_graph(spark, folder):
+def _directory_graph(spark, folder, read=_imports):
     top = lambda c: F.concat_ws("/", F.slice(F.split(c, "/"), 1, 1))
-    e = _edges(spark, folder).filter("target_kind = 'file'")
+    e = _edges(spark, folder, read).filter("target_kind = 'file'")
     return e.select("repo", top("source").alias("source"), top("target").alias("target")).filter("source <> target").distinct()
 
 
-def directory_cycles(spark, folder):
-    return graph.cycles(_directory_graph(spark, folder))
+def directory_cycles(spark, folder, read=_imports):
+    return graph.cycles(_directory_graph(spark, folder, read))
 
 
-def dependents_within_3(spark, folder):
-    e = _edges(spark, folder).filter("target_kind = 'file'").select("repo", "source", "target").distinct()
+def dependents_within_3(spark, folder, read=_imports):
+    e = _edges(spark, folder, read).filter("target_kind = 'file'").select("repo", "source", "target").distinct()
     starts = e.select("repo", F.col("target").alias("node")).distinct()
     return graph.reachable(e, starts, 3, reverse=True).select("repo", "start", "node", F.col("level").cast("long").alias("level"))
 
 
-def affected_modules(spark, folder):
+def affected_modules(spark, folder, read=_imports):
     changed = _docs(spark, folder).filter("fetched_at >= TIMESTAMP_NTZ '2024-06-01 00:00:00'").select("repo", "path")
     mods = cut(_modules(spark, folder))
-    return graph.affected(changed, mods, _module_edges(spark, folder, mods))
+    return graph.affected(changed, mods, _module_edges(spark, folder, read, mods))
 
 
-def edges_between(spark, folder):
-    e, m = _edges(spark, folder), cut(_modules(spark, folder))
+def edges_between(spark, folder, read=_imports):
+    e, m = _edges(spark, folder, read), cut(_modules(spark, folder))
     pairs = modules.module_edges(e, m).select("repo", "source", "target")
     return graph.between(e, pairs, m).select("repo", "source", "target", "files", F.array_join("relationships", ",").alias("relationships"))
 
@@ -207,22 +222,22 @@ def longest_prefix(spark, folder):
 
 
 # rules
-def noisy_or_roles(spark, folder, mods=None):
+def noisy_or_roles(spark, folder, read=_imports, mods=None):
     mods = cut(_modules(spark, folder)) if mods is None else mods
     m = mods.select("repo", "module", "directory").distinct()
     named = F.concat_ws("/", "module", "directory")
     hits = F.array_compact(F.array(*(F.when(named.rlike(rules.name_pattern(w)), F.struct(F.lit(r).alias("role"), F.lit(x).alias("w"))) for r, w, x in rules.NAME_RULES)))
     by_name = m.select("repo", "module", F.explode(hits).alias("h")).select("repo", "module", "h.*")
-    s = _imports(spark, folder).select("repo", "path", F.explode(signals(F.col("specifier"))).alias("signal")).join(mods, ["repo", "path"]).select("repo", "module", "signal").distinct()
+    s = read(spark, folder).select("repo", "path", F.explode(signals(F.col("specifier"))).alias("signal")).join(mods, ["repo", "path"]).select("repo", "module", "signal").distinct()
     by_signal = s.join(F.broadcast(spark.createDataFrame(list(rules.SIGNAL_RULES), "signal string, role string, w double, label string")), "signal").select("repo", "module", "role", "w")
     a = by_name.unionByName(by_signal).groupBy("repo", "module", "role").agg(rules.noisy_or(F.collect_list("w")).alias("confidence")).filter("confidence >= 0.3")
     rank = F.row_number().over(W.partitionBy("repo", "module").orderBy(F.desc("confidence"), "role"))
     return a.withColumn("rank", rank).filter("rank <= 4").select("repo", "module", F.col("rank").cast("long").alias("rank"), "role", "confidence")
 
 
-def layering_violations(spark, folder):
+def layering_violations(spark, folder, read=_imports):
     mods = cut(_modules(spark, folder))
-    return rules.layering(_module_edges(spark, folder, mods), noisy_or_roles(spark, folder, mods)).select("repo", "source", "target", "kind")
+    return rules.layering(_module_edges(spark, folder, read, mods), noisy_or_roles(spark, folder, read, mods)).select("repo", "source", "target", "kind")
 
 
 def precision_recall(spark, folder):
@@ -247,8 +262,8 @@ def set_difference(spark, folder):
     return tables.difference(table(spark, folder, "files"), _docs(spark, folder), ["repo", "path"])
 
 
-def import_statistics(spark, folder):
-    i = _imports(spark, folder).select("repo", "path", "specifier", "syntax", F.col("at").alias("line"), F.lit(False).alias("type_only"))
+def import_statistics(spark, folder, read=_imports):
+    i = read(spark, folder).select("repo", "path", "specifier", "syntax", F.col("at").alias("line"), F.lit(False).alias("type_only"))
     a = spark.createDataFrame(list(ALIASES), "pattern string, targets array<string>, base string, source string")
     a = i.select("repo").distinct().crossJoin(F.broadcast(a))
     return conventions.import_statistics(i, a).select("repo", "files", *(F.col(c).cast("long").alias(c) for c in ("relative", "alias", "external", "explicit", "mixed_files", "external_first")))
@@ -312,3 +327,6 @@ QUERIES = {
         module_files, module_edges, module_neighbours, incoming_imports, external_packages, directory_cycles, dependents_within_3, affected_modules, edges_between, longest_prefix, noisy_or_roles, layering_violations, precision_recall, evidence_coverage, first_wins, set_difference, import_statistics, package_managers, parse_reuse, unread_targets, bm25_search, term_frequencies, listing_changes,
     )
 }
+#: The queries on imports over all imports.
+WHOLE = (static_imports, resolved_imports, import_gaps, package_signals, module_edges, module_neighbours, incoming_imports, external_packages, directory_cycles, dependents_within_3, affected_modules, edges_between, noisy_or_roles, layering_violations, import_statistics)
+QUERIES |= {f"{f.__name__}_whole": partial(f, read=_read_imports) for f in WHOLE}
