@@ -40,7 +40,8 @@ def nearest_rank_quantiles(spark, folder):
 
 
 def event_cycles(spark, folder):
-    """Which event types lead to each other, as strongly connected components over users' consecutive events."""
+    """Which event types lead to each other, as strongly connected components over users' consecutive events; only
+    each type's most frequent successor, users of even and of odd numbers apart, as the SQL says."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, folder, "events").select("user_id", F.col("event_type").alias("source"), F.lead("event_type").over(w).alias("target"))
     kind = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
@@ -49,8 +50,16 @@ def event_cycles(spark, folder):
     return graph.cycles(e.withColumn("r", top).filter("r = 1").select("repo", "source", "target"))
 
 
+def event_cycles_whole(spark, folder):
+    """The same over all transitions of all users, in one graph."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, folder, "events").select(F.lit("all").alias("repo"), F.col("event_type").alias("source"), F.lead("event_type").over(w).alias("target"))
+    return graph.cycles(e)
+
+
 def supplier_reach(spark, folder):
-    """Suppliers within two steps of each nation's least supplier, a step being a part that both supply."""
+    """Suppliers within two steps of each nation's least supplier, a step leading from the least supplier of a part to
+    the others of that part, as the SQL says."""
     line = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct()
     near = line.groupBy("l_partkey").agg(F.min("l_suppkey").alias("a"))
     e = line.join(near, "l_partkey").filter("a <> l_suppkey").select(F.lit("all").alias("repo"), F.col("a").cast("string").alias("source"), F.col("l_suppkey").cast("string").alias("target")).distinct()
@@ -58,7 +67,17 @@ def supplier_reach(spark, folder):
     return graph.reachable(e, starts, 2).groupBy("start", F.col("level").cast("long").alias("level")).agg(F.count("*").alias("reached"))
 
 
-QUERIES = {f.__name__: f for f in (activity_by_file, activity_by_module, top_contributors, nearest_rank_quantiles, event_cycles, supplier_reach)}
+def supplier_reach_whole(spark, folder):
+    """Suppliers within two steps of each nation's least supplier, a step being a part that both supply, whoever they
+    are: by way of the part, so that no pairs of suppliers are made."""
+    to_part = table(spark, folder, "lineitem").filter("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL").select(F.lit("all").alias("repo"), F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+    e = to_part.unionByName(to_part.select("repo", F.col("target").alias("source"), F.col("source").alias("target")))
+    starts = table(spark, folder, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s")).select(F.lit("all").alias("repo"), F.concat(F.lit("s"), "s").alias("node"))
+    met = graph.reachable(e, starts, 4).filter("node LIKE 's%'")
+    return met.groupBy(F.substr("start", F.lit(2)).alias("start"), (F.col("level") / 2).cast("long").alias("level")).agg(F.count("*").alias("reached"))
+
+
+QUERIES = {f.__name__: f for f in (activity_by_file, activity_by_module, top_contributors, nearest_rank_quantiles, event_cycles, event_cycles_whole, supplier_reach, supplier_reach_whole)}
 
 _T = "t AS (SELECT l_orderkey AS sha, l_partkey AS path, p_brand AS module, p_type AS repo, o_custkey AS author, o_orderdate AS ts FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey)"
 

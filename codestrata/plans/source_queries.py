@@ -23,6 +23,7 @@ from ..sources.facts import exploded, read_facts
 from ..sources.quick_imports import SCRIPTS, quick_imports
 
 NO_PACKAGES = "repo string, name string, directory string, entries array<string>"
+SINCE = "2024-06-01 00:00:00"
 ALIASES = (("@app/*", ["src/*", "lib/*"], "", "tsconfig.json"), ("~/*", ["src/*"], "", "tsconfig.json"))
 
 
@@ -188,6 +189,7 @@ def external_packages(spark, folder, read=_imports):
 
 
 def _directory_graph(spark, folder, read=_imports):
+    """Between the first segments of paths, as the SQL says."""
     top = lambda c: F.concat_ws("/", F.slice(F.split(c, "/"), 1, 1))
     e = _edges(spark, folder, read).filter("target_kind = 'file'")
     return e.select("repo", top("source").alias("source"), top("target").alias("target")).filter("source <> target").distinct()
@@ -197,6 +199,12 @@ def directory_cycles(spark, folder, read=_imports):
     return graph.cycles(_directory_graph(spark, folder, read))
 
 
+def directory_cycles_whole(spark, folder):
+    """Cycles between directories, whatever their depth, over all imports."""
+    e = _edges(spark, folder, _read_imports).filter("target_kind = 'file'")
+    return graph.cycles(e.select("repo", P.dirname(F.col("source")).alias("source"), P.dirname(F.col("target")).alias("target")).filter("source <> target").distinct())
+
+
 def dependents_within_3(spark, folder, read=_imports):
     e = _edges(spark, folder, read).filter("target_kind = 'file'").select("repo", "source", "target").distinct()
     starts = e.select("repo", F.col("target").alias("node")).distinct()
@@ -283,6 +291,14 @@ def parse_reuse(spark, folder):
     return n(fresh, "fresh").join(n(known, "known"), "repo", "full_outer").na.fill(0)
 
 
+def parse_reuse_whole(spark, folder):
+    """Documents fetched since SINCE, or at an unknown time: how many have a content that stands in one fetched before."""
+    d = _docs(spark, folder).select("repo", "path", F.sha2("text", 256).alias("hash"), file_ops.language_of(F.col("path")).alias("language"), F.coalesce(F.col("fetched_at") < F.lit(SINCE).cast("timestamp_ntz"), F.lit(False)).alias("before")).filter("hash IS NOT NULL")
+    fresh, known = file_ops.to_parse(d.filter("NOT before").drop("before"), d.filter("before").select("hash", "language"))
+    n = lambda df, name: df.groupBy("repo").agg(F.count("*").alias(name))
+    return n(fresh, "fresh").join(n(known, "known"), "repo", "full_outer").na.fill(0)
+
+
 def unread_targets(spark, folder):
     """Delivered records of files without a document, by the kind their path stands for."""
     f = table(spark, folder, "files").select("repo", "path").distinct()
@@ -328,5 +344,6 @@ QUERIES = {
     )
 }
 #: The queries on imports over all imports.
-WHOLE = (static_imports, resolved_imports, import_gaps, package_signals, module_edges, module_neighbours, incoming_imports, external_packages, directory_cycles, dependents_within_3, affected_modules, edges_between, noisy_or_roles, layering_violations, import_statistics)
+WHOLE = (static_imports, resolved_imports, import_gaps, package_signals, module_edges, module_neighbours, incoming_imports, external_packages, dependents_within_3, affected_modules, edges_between, noisy_or_roles, layering_violations, import_statistics)
 QUERIES |= {f"{f.__name__}_whole": partial(f, read=_read_imports) for f in WHOLE}
+QUERIES |= {f.__name__: f for f in (directory_cycles_whole, parse_reuse_whole)}

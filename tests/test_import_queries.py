@@ -1,9 +1,10 @@
 """The queries on imports over all imports: a small tree whose every edge is written down."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 
+from codestrata.plans import activity_queries
 from codestrata.plans.source_queries import QUERIES, SQL, WHOLE
 
 TEXTS = {
@@ -56,3 +57,26 @@ def test_all_of_them_run(spark, folder):
         whole, quick = QUERIES[f"{f.__name__}_whole"](spark, folder), QUERIES[f.__name__](spark, folder)
         assert whole.columns == quick.columns
         whole.collect()
+
+
+def test_cycles_of_whole_directories(spark, folder, rows):
+    assert rows(QUERIES["directory_cycles_whole"](spark, folder), "component", "node") == [("src/a", "src/a"), ("src/a", "src/b"), ("src/a", "src/c")]
+    assert QUERIES["directory_cycles"](spark, folder).isEmpty()  # all are in src
+
+
+def test_reuse_by_time(spark, tmp_path, rows):
+    old, new = datetime(2024, 5, 31), datetime(2024, 6, 1)
+    d = [(2, "r", "a.ts", "x", old), (4, "r", "b.ts", "x", new), (6, "r", "c.ts", "y", new), (8, "r", "d.py", "x", None), (10, "r", "e.ts", None, new)]
+    spark.createDataFrame(d, "doc_id bigint, repo string, path string, text string, fetched_at timestamp_ntz").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(QUERIES["parse_reuse_whole"](spark, str(tmp_path)), "repo", "fresh", "known") == [("r", 2, 1)]
+
+
+def test_all_events_and_suppliers(spark, tmp_path, rows):
+    types = "abcacdc"  # b is never the most frequent successor of anything
+    e = [(i, 1, t, datetime(2024, 1, 1) + timedelta(hours=i)) for i, t in enumerate(types)] + [(20, 2, "d", datetime(2024, 1, 1)), (21, 2, "e", datetime(2024, 1, 2)), (30, 3, "e", datetime(2024, 1, 1)), (31, 3, "d", datetime(2024, 1, 2))]
+    spark.createDataFrame(e, "event_id bigint, user_id bigint, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    assert [r[1] for r in rows(activity_queries.QUERIES["event_cycles_whole"](spark, str(tmp_path)), "component", "node")] == list("abcde")
+    line = [(1, 10), (2, 10), (3, 10), (3, 11), (4, 11), (4, 12), (5, 12), (6, 13)]
+    spark.createDataFrame(line, "l_suppkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(2, 0), (9, 0), (5, 1), (6, 2)], "s_suppkey bigint, s_nationkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert rows(activity_queries.QUERIES["supplier_reach_whole"](spark, str(tmp_path)), "start", "level", "reached") == [("2", 1, 2), ("2", 2, 1), ("5", 1, 1), ("5", 2, 1)]
