@@ -7,6 +7,8 @@ once reduced to a whole production is known by its kinds from then on (``_known`
 
 from __future__ import annotations
 
+import sys
+
 from ..sources.script_tokens import CONTEXTUAL, Tokens
 
 NAMES = CONTEXTUAL | {"id"}
@@ -22,6 +24,8 @@ TYPE_WORDS = frozenset("keyof unique readonly infer".split())
 #: Longest window that is remembered, and how many are (a matter of memory only).
 WINDOW, KEPT = 80, 300_000
 _known: dict[tuple, int] = {}
+#: Frames of the parser that a token can add, at most.
+FRAMES = 40
 
 
 class Bad(Exception):
@@ -71,6 +75,19 @@ class Module:
                 last[d + 1] = i
             elif self.nl[i]:
                 last[d] = i
+        try:
+            return self.module()
+        except RecursionError:  # once more, as deep as so many tokens can be nested; Python frames are on the heap
+            limit = sys.getrecursionlimit()
+            self.i, self.ambient, self.cover = 0, False, -1
+            self.in_async, self.in_function, self.in_generator = True, False, False
+            sys.setrecursionlimit(limit + FRAMES * n)
+            try:
+                return self.module()
+            finally:
+                sys.setrecursionlimit(limit)
+
+    def module(self) -> int:
         try:
             while self.k[self.i] != "eof":
                 self.statement(True)
@@ -78,9 +95,7 @@ class Module:
         except Bad as e:
             return e.args[0]
         except IndexError:
-            return n - 1
-        except RecursionError:  # nested too deep to follow; brackets are in order
-            return -1
+            return len(self.k) - 1
 
     # helpers
     def fail(self):
@@ -115,7 +130,8 @@ class Module:
         j = self.next_line[i]
         if j < 0 or j - i > WINDOW:
             return None, j
-        return (context, self.typed, self.ambient, self.in_async, self.in_function, self.in_generator, tuple(self.k[i : j + 1]), tuple(self.nl[i + 1 : j + 1])), j
+        kinds = tuple(self.k[i : j + 1])
+        return (context, self.typed, self.ambient, self.in_async, self.in_function, self.in_generator, kinds, tuple(self.nl[i + 1 : j + 1]), tuple(self.near[i + 1 : j + 1]) if ">" in kinds else ()), j
 
     def remembered(self, context: str, parse) -> None:
         key, j = self.window(context)

@@ -3,8 +3,8 @@
 Texts are lexed into rows of tokens, a batch of documents at a time and inside the task that read them, for a
 document never spans tasks: no token is shuffled. Neighbouring pairs are anti-joined with the pairs that the
 grammar permits, nesting is tested by windowed reductions over (document, depth), and statements are reduced
-window by window to productions. What remains suspect, and the languages whose layout carries their structure
-(Python, YAML), is parsed as a whole; that exact parse has the last word.
+window by window to productions. A text that fails at tokens, pairs or nesting is broken; what they leave open, and
+the languages whose layout carries their structure (Python, YAML), is parsed as a whole.
 """
 
 from __future__ import annotations
@@ -139,11 +139,35 @@ def parse_json(text: str, relaxed: bool, tokens: Tokens) -> bool:
         json.loads(text.removeprefix("﻿"), parse_constant=refuse)
         return True
     except RecursionError:
-        return True  # nested too deep for it; the tokens and their nesting were in order
+        return well_formed(tokens.kinds)
     except ValueError:
         return False
 
 
+def well_formed(kinds: list[str]) -> bool:
+    """Whether JSON tokens are one value, however deep it is nested."""
+    stack: list[str] = []
+    want = "value"  # or first (a value or ]), name, first name (a name or }), colon, next (a comma or the end)
+    for k in kinds[:-1]:
+        if want in ("value", "first") and k in ("[", "{"):
+            stack.append(k)
+            want = "first" if k == "[" else "first name"
+        elif want in ("value", "first") and k in ("str", "num", "word"):
+            want = "next"
+        elif want in ("name", "first name") and k == "str":
+            want = "colon"
+        elif want == "colon" and k == ":":
+            want = "value"
+        elif want == "next" and k == "," and stack:
+            want = "value" if stack[-1] == "[" else "name"
+        elif k == "]" and want in ("first", "next") and stack and stack[-1] == "[" or k == "}" and want in ("first name", "next") and stack and stack[-1] == "{":
+            stack.pop()
+            want = "next"
+        else:
+            return False
+    return want == "next" and not stack
+
+
 def parse_python(text: str) -> int:
     """-1, or the line of the first error. Only the grammar counts."""
     import ast
@@ -201,12 +225,12 @@ def judge(paths: list[str], texts: list[str | None]) -> list[tuple[str | None, s
             if tokens.bad >= 0:
                 wrong, at = "token", tokens.bad
             elif rows is jsons:
-                if parse_json(text, flag, tokens) and nest < 0:
+                if pair < 0 and nest < 0 and parse_json(text, flag, tokens):
                     out[i] = (language, None, 0)
                     continue
                 wrong, at = ("pair", tokens.places[max(0, pair - 1)]) if pair >= 0 else ("nesting", tokens.places[max(0, nest - 1)]) if nest >= 0 else ("production", 0)
             else:
-                stop = Module(tokens, flag).check()
+                stop = Module(tokens, flag).check() if pair < 0 and nest < 0 else 0
                 if stop < 0:
                     out[i] = (language, None, 0)
                     continue

@@ -58,6 +58,16 @@ def test_truncation_is_found():
     assert sum(g[1] is None for g in got) <= 6  # the first letters are a name, and the whole
 
 
+@pytest.mark.parametrize("path, left, right, good, bad", [("a.ts", "(", ")", "a", "a b"), ("a.js", "[", "]", "a", "a b"), ("a.ts", "{", "}", "a", "if (a"), ("a.json", "[", "]", "1", "1 2"), ("a.json", '{"a":', "}", "1", '{"b"}'), ("a.json", "[", "]", "{}", '{"b",1}')])
+def test_deep_nesting_is_followed(path, left, right, good, bad):
+    deep = lambda text: left * 20_000 + text + right * 20_000
+    assert judge([path], [deep(good)])[0][1] is None and judge([path], [deep(bad)])[0][1] is not None
+
+
+def test_remembered_windows_keep_blanks():
+    assert [g[1] is None for g in judge(["a.ts", "b.ts"], ["x = a >> b;\ny;", "x = a > > b;\ny;"])] == [True, False]
+
+
 def test_pairs_and_nesting_rows():
     pairs = permitted(JSON)
     assert ("str", ":") in pairs and ("str", "str") not in pairs and (",", "}") not in pairs and ("start", "{") in pairs
