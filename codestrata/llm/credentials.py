@@ -24,11 +24,6 @@ from pyspark.sql import types as T
 
 MASK = "[REDACTED]"
 
-# Words that let a line be looked at (lower case).
-TRIGGERS = (
-    "passw", "passphrase", "passwd", "pass", "pwd", "pw", "secret", "token", "key", "auth", "cred", "bearer", "basic ", "login", "motdepasse", "mot_de_passe", "kennwort", "passwort", "contrase", "senha", "clave",
-    "sk-", "akia", "ghp_", "ghs_", "gho_", "ghu_", "ghr_", "xox", "aiza", "eyj", "_live_", "_prod_", "_pk_", "_test_", "_sk_", "@", "-----begin", "sig=", "signature=", "' + '", '" + "', "pat_", "hooks.", "mysql", "mariadb", "curl ", "redis-cli",
-)
 # Last words of names that ask for a credential; those of the second list only with a value that
 # looks drawn at random.
 SURE = {
@@ -63,6 +58,22 @@ WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z\xc2-\xf4\x80-\xbf]+|\d+")
 BARE_FORMATS = {"env", "ini", "properties", "cfg", "conf", "sh", "bash", "yml", "yaml", "toml", "md", "txt", "example", "production", "local", "development", "staging", "envrc", "rc"}
 
 
+# Words that let a line be looked at (lower case): the names, and of each expression above what one of its alternatives
+# can't do without. JOINED has no such word, QUOTED_PLUS stands for it.
+TRIGGERS = tuple(sorted(
+    {w for w in SURE | MAYBE if w.isascii()}
+    | {"contrase", "cred", "passe", "passw", "mot de passe"}
+    | {"sk-", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "aiza", "eyj", "_live_", "_prod_", "_pk_", "_sk_", "_test_", "npm_", "sg."}  # ISSUED
+    | {"://", "sig=", "signature=", "key=", "token=", "secret=", "password=", "passwd=", "auth="}  # URL_LOGIN, URL_PARAM
+    | {"bearer", "token", "basic", "bot", "apikey", "digest"}  # HEADER
+    | {"login", "authenticate", "authorize", "signin", "sign_in", "connect", "auth", "credential", "setpassword"}  # CALL
+    | {"account", "user"}  # SLASHED
+    | {"mysql", "mariadb", "mongo", "redis-cli", "sshpass", "curl"}  # COMMAND
+    | {"-----begin"}  # PEM
+))
+QUOTED_PLUS = re.compile(r"['\"][^\S\n]*\+[^\S\n]*['\"]")
+
+
 @dataclass(frozen=True)
 class Finding:
     line_no: int
@@ -161,6 +172,8 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
     one's own; what they match is taken if its value has the shape of a credential."""
     plain = data.decode("latin-1")
     hits = [end for end, _ in _automaton().iter(data.lower().decode("latin-1"))]
+    if "+" in plain and (joins := [m.start() for m in QUOTED_PLUS.finditer(plain)]):
+        hits = sorted(hits + joins)
     if not hits:
         return []
     lines = plain.split("\n")
