@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,14 +39,17 @@ ABOUT = {
 FAKE = re.compile(r"(?i)your[_-]|<|>|\*{3,}|x{4,}|\.{3}|redacted|change.?me|placeholder|example|replace.?me|fill.?me|dummy|todo|insert.?|sample.?(key|token|pass)|not.?a.?real|enter |set in|here$|^(none|null|undefined|true|false|nil|yes|no|test|password|passwd|secret|token|string|str|required|optional|unset|empty|default|hidden|masked|n/?a)$")
 REFERENCE = re.compile(r"\$\{|\$\(|\{\{|^\$\w|^%\w+%$|^@\w+|^env[:.]|^vault:|^secret[s]?[:/.]|^arn:|process\.env|os\.environ|^ref\+|^op://|^ssm:|^!\w|^\w+://[^:@]*$|^\w+(?:[./]\w[\w-]*){2,}$")
 ISSUED = re.compile(r"(?<![A-Za-z0-9_])(?:sk-[A-Za-z0-9_-]{16,}|AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[A-Za-z0-9-]{20,}|AIza[\w-]{28,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}|[a-z][a-z0-9]*_(?:live|prod|pk|sk|test)_[A-Za-z0-9]{20,}|npm_[A-Za-z0-9]{30,}|SG\.[\w-]{16,}\.[\w-]{16,})")
-URL_LOGIN = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{0,30}://([^\s:/@'\"`]*):([^\s/@'\"`]+)@[\w\[]")
+URL_LOGIN = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@'\"`]*):([^\s/@'\"`]+)@[\w\[]")
 URL_PARAM = re.compile(r"(?i)[?&](?:sig|signature|api[_-]?key|access[_-]?token|auth[_-]?token|token|key|secret|client[_-]?secret|password|passwd|auth)=([\w%.~+/=-]{12,})")
 HEADER = re.compile(r"(?:Bearer|Token|Basic|Bot|ApiKey|Digest)\s+([A-Za-z0-9+/=._~-]{16,})")
-CALL = re.compile(r"(?i)(?<!\w)\w{0,40}?(?:login|authenticate|authorize|sign_?in|connect|auth|credentials?|setpassword|basicauth)\(\s*(?:(['\"`])(?:(?!\1).){0,200}\1\s*,\s*)?(['\"`])((?:(?!\2).){1,2000})\2\s*[,)]")
+CALL = re.compile(r"(?i)(?:login|authenticate|authorize|sign_?in|connect|auth|credentials?|setpassword|basicauth)\(\s*(?:(['\"`])(?:(?!\1).)*\1\s*,\s*)?(['\"`])((?:(?!\2).)+)\2\s*[,)]")
 JOINED = re.compile(r"(['\"])([A-Za-z0-9+/=_.-]{6,})\1\s*\+\s*(['\"])([A-Za-z0-9+/=_.-]{6,})\3")
 PROSE = re.compile(r"(?i)\b(?:pass(?:word|phrase|code|wd)?|pwd|\w*pw|secret|token|api.?key|key|credentials?|mot de passe|passwort|kennwort|contraseña|senha|clave)\b\s*(?:is|was|:|=|→|est|ist|es)\s*([`'\"]?)([^\s`'\"]{6,})")
 SLASHED = re.compile(r"(?i)(?:login|creds?|credentials?|account|user(?:name)?)\s*[:=]\s*[\w.@-]+\s*/\s*(\S{8,})")
-COMMAND = re.compile(r"(?:\b(?:mysql|mysqldump|mysqladmin|mariadb|mongo|mongosh|redis-cli|sshpass)\b[^|;&\n]{0,300}?\s(?:-p ?|-a |--pass(?:word)?[= ])|\bcurl\b[^|;&\n]{0,300}?\s(?:-u|--user)[ =]['\"]?[\w.@-]+:)(['\"]?)([^\s'\"]{6,})")
+COMMAND = re.compile(r"\b(?:(mysql|mysqldump|mysqladmin|mariadb|mongo|mongosh|redis-cli|sshpass)|curl)\b")
+OPTION = re.compile(r"(?=\s(?:-p ?|-a |--pass(?:word)?[= ])(['\"]?)([^\s'\"]{6,}))")
+CURL_OPTION = re.compile(r"(?=\s(?:-u|--user)[ =]['\"]?[\w.@-]+:(['\"]?)([^\s'\"]{6,}))")
+SEPARATOR = re.compile(r"[|;&]")
 WEAK = re.compile(r"[a-z]{6,}(?:19|20)\d\d|[A-Z][a-z]+[^A-Za-z0-9]\d{2,}[^A-Za-z0-9][a-z]+")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
@@ -153,18 +156,38 @@ def shaped(value: str, rank: int, quoted: bool, rank_of_environment: bool = Fals
     return bool(letter and (digit or other) or mixed) and not re.fullmatch(r"[\d.]+(?:ms|s|m|h|d|kb|mb)?", value)
 
 
-def _path(lines: list[str], at: int, key: str) -> str:
-    """The key with those it stands under, by indentation (YAML, and JSON as it is usually laid out)."""
-    out, depth = [key.strip("\"'")], len(lines[at]) - len(lines[at].lstrip())
-    for n in range(at - 1, max(-1, at - 400), -1):
-        s = lines[n].strip()
-        d = len(lines[n]) - len(lines[n].lstrip())
-        if s and d < depth and (m := re.match(r"(?:- )?[\"']?([\w.-]+)[\"']?\s*[:=]\s*[\[{|>]?-?\s*$", s)):
-            out.append(m.group(1))
-            depth = d
-            if not d:
-                break
-    return ".".join(reversed(out))
+def _commands(line: str) -> Iterator[re.Match]:
+    """The option that holds a password of each command: the first before the next separator."""
+    words = list(COMMAND.finditer(line))
+    if not words:
+        return
+    stops = [m.start() for m in SEPARATOR.finditer(line)] + [len(line)]
+    options = [(m, [m.start() for m in m]) for m in (list(OPTION.finditer(line)), list(CURL_OPTION.finditer(line)))]
+    for w in words:
+        of, places = options[w.group(1) is None]
+        n = bisect_left(places, w.end())
+        if n < len(of) and places[n] < stops[bisect_left(stops, w.end())]:
+            yield of[n]
+
+
+class Paths:
+    """Keys with those they stand under, by indentation (YAML, and JSON as it is usually laid out); asked for in the
+    order of the lines."""
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.at, self.stack = lines, 0, []
+
+    def path(self, at: int, key: str) -> str:
+        for n in range(self.at, at):
+            line = self.lines[n]
+            if m := re.match(r"(?:- )?[\"']?([\w.-]+)[\"']?\s*[:=]\s*[\[{|>]?-?\s*$", line.strip()):
+                d = len(line) - len(line.lstrip())
+                while self.stack and self.stack[-1][0] >= d:
+                    self.stack.pop()
+                self.stack.append((d, m.group(1)))
+        self.at = max(self.at, at)
+        depth = len(self.lines[at]) - len(self.lines[at].lstrip())
+        return ".".join([*(k for d, k in self.stack if d < depth), key.strip("\"'")])
 
 
 def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
@@ -189,6 +212,7 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
             last = bisect_right(starts, h) - 1
             until = starts[last + 1]
             numbers.append(last)
+    paths = Paths(lines)
     for n in numbers:
         line = lines[n]
         base = starts[n]
@@ -229,7 +253,7 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
             v = m.group(2).rstrip(".,;)")
             if (m.group(1) and shaped(v, 2, True)) or drawn(v) and not FAKE.search(v) and not REFERENCE.search(v) and not re.search(r"[(){}\[\]]", v):
                 add(m.start(2), m.start(2) + len(v), "prose")
-        for m in COMMAND.finditer(line):
+        for m in _commands(line):
             if shaped(m.group(2), 2, True) or drawn(m.group(2)) or re.fullmatch(r"(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]{10,}", m.group(2)) and not REFERENCE.search(m.group(2)):
                 add(m.start(2), m.end(2), "command")
         for m in SLASHED.finditer(line):
@@ -246,7 +270,7 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
                 if rank and not (comment_about and rank == 1):
                     v = lit.group(1)[1:-1]
                     if shaped(v, rank, True, m.group("k").rpartition(".")[2].strip("\"'").isupper()):
-                        add(lit.start(1) + 1, lit.end(1) - 1, "assigned", _path(lines, n, m.group("k")) if len(line) < 2000 else m.group("k"))
+                        add(lit.start(1) + 1, lit.end(1) - 1, "assigned", paths.path(n, m.group("k")))
                 continue
             rest = line[at:]
             if re.match(r"(?:Buffer\.from|atob|b64decode|base64\.b64decode|bytes|SecretStr|new TextEncoder\(\)\.encode)\(", rest):
@@ -269,13 +293,13 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
                 v = lines[n + 1].strip()
                 if shaped(v, rank, True):
                     s = starts[n + 1] + lines[n + 1].index(v)
-                    found.append((s, s + len(v), "assigned", _path(lines, n, m.group("k"))))
+                    found.append((s, s + len(v), "assigned", paths.path(n, m.group("k"))))
                 continue
             if bare_file or suffix == "" or rank == 2 and re.search(r"//|#|/?\*", line[: m.start()]) or re.match(r"\s*(?:export\s+|ENV\s+|-\s+)?$", line[: m.start()]) and m.group("op") == "=" and m.group("k").isupper():
                 v = re.split(r"\s+#|\s*[;,]\s*$|\s", rest.strip(), maxsplit=1)[0] if rest.strip() else ""
                 if v and v[0] not in "\"'`" and shaped(v, rank, False):
                     s = at + rest.index(v)
-                    add(s, s + len(v), "assigned", _path(lines, n, m.group("k")) if len(line) < 2000 else m.group("k"))
+                    add(s, s + len(v), "assigned", paths.path(n, m.group("k")))
         for p in patterns:
             for m in p.finditer(line):
                 quoted = re.search(r"[=:]\s*['\"]([^'\"]+)['\"]$", m.group())

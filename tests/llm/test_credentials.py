@@ -50,6 +50,20 @@ def test_no_form_needs_another_word(path, text):
     assert len(scan(f"x\n{text}\n".encode(), path)) == 1
 
 
+FAR = "-H 'X-Long: " + "a b " * 5000 + "'"
+
+
+@pytest.mark.parametrize("path, text", [("a.sh", f"curl {FAR} -u me:RWQXpquOadio https://h"), ("a.sh", f"mysql {FAR} -pRWQXpquOadio db"), ("a.ts", f"store.login('{'n' * 5000}', 'frameendpoint2009');"), ("a.ts", f"store.{'x' * 90}Login('frameendpoint2009');"), ("a.ts", f"login('{'Ab1#' * 1000}');"), ("a.md", f"{'x' * 60}://u:patchbuffer1987@h.example/d")])
+def test_no_length_hides_one(path, text):
+    assert len(scan(text.encode(), path)) == 1
+
+
+def test_paths_have_no_limit():
+    text = "db:\n  prod:\n" + "    a: b\n" * 3000 + f"    password: Replica#2801?kernel  # {'c' * 3000}\n"
+    assert [f.key_path for f in scan(text.encode(), "a.yml")] == ["db.prod.password"]
+    assert scan("curl -s https://h | tee x; y -u me:RWQXpquOadio".encode(), "a.sh") == []
+
+
 def test_key_names():
     assert [key_rank(k) for k in ("dbPassword", "API_KEY", "x.clientSecret", "motDePasse", "adminPw")] == [2] * 5
     assert [key_rank(k) for k in ("passwordHash", "token_url", "secretName", "publicKey", "tokenCount", "x")] == [0] * 6 and key_rank("CHANNEL_KEY") == 1
