@@ -42,7 +42,12 @@ NAMED = re.compile(r"(?:\.pb|_pb|_pb2|_pb2_grpc|\.g|\.gen|\.generated|\.designer
 SCRIPT = re.compile(r"\.(?:[cm]?[jt]sx?|py)$")
 HEADER_END = re.compile(r"\s*(?:(?://|#|--|;)[^\n]*(?:\n|$)|/\*[\s\S]*?\*/|<!--[\s\S]*?-->|(?:'use strict'|\"use strict\");?\s*(?:\n|$)|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')")
 RELEASE = re.compile(r"^/\*[!*]?\s*(?:@preserve\s+|@license\s+)?[\w@./-]+\s+v?\d+\.\d+(?:\.\d+)?\b[^\n]*(?:\(c\)|copyright|licen[sc]e|\bMIT\b|\bBSD|Apache)", re.I)
-RELEASE_BLOCK = re.compile(r"^/\*!\s*\n?\s*\*?\s*[\w@./-]+\s+v\d+\.\d+(?:\.\d+)?[^*]*\n(?:[^*]|\*(?!/))*(?:\(c\)|licen[sc]e)", re.I)
+RELEASE_BLOCK = re.compile(r"^/\*!\s*(?:\*\s*)?[\w@./-]+\s+v\d+\.\d+(?:\.\d+)?[^*\n]*\n", re.I)
+RIGHTS = re.compile(r"\(c\)|licen[sc]e", re.I)
+LOCK_TOKEN = re.compile(r"\"(?:[^\"\\]|\\.)*\"|[{}\[\]]", re.S)
+LOCK_KEY = re.compile(r"(?m)^[\"']?lockfileVersion[\"']?[ \t]*:")
+COLON = re.compile(r"\s*:")
+NO_DATA = re.compile(r"\.(?:[cm]?[jt]sx?|py|mdx?|markdown|rst)$")
 GENERATED_TYPES = re.compile(r"^\s*(?:get|set)\w+\(\w*\) \{ (?:return )?this\.\w+\.\w+\(\d+, \w+\); \}|^\s*/\*\* I?[A-Z]\w+ \w+ \*/\s*$", re.M)
 DATA = re.compile(r"(?:0x[0-9a-fA-F]{1,8},?\s*){8,}|(?:-?\d+(?:\.\d+)?(?:e-?\d+)?,\s*){6,}-?[\d.]*|[\"'`][A-Za-z0-9+/=_-]{56,}[\"'`],?\s*|(?m:^[ \t]*(?:\{\"[^{}\n]*\}|\[(?:[^\[\]\n]*,){2,}[^\[\]\n]*\]),?[ \t]*\r?$)|[\"'`](?:\\x[0-9a-fA-F]{2}|\\\d{1,3}){16,}[\"'`]")
 _words = re.compile(r"\w+").findall
@@ -168,6 +173,33 @@ def _rolled(text: str) -> np.ndarray:
     return total
 
 
+def locks(path: str, text: str) -> bool:
+    """Whether a text is a lockfile by its content: its version is a key of the outermost object."""
+    if "lockfileVersion" not in text and not path.endswith(".json"):
+        return False
+    body = text.lstrip("\ufeff \t\r\n")
+    if path.endswith(".json") and re.match(r"\{\s*\"(?:lockfileVersion|version)\"\s*:\s*\d+\s*,\s*\"(?:sources|file|names|mappings|requires|packages)\"", body):
+        return True
+    if body.startswith("{"):
+        depth = 0
+        for m in LOCK_TOKEN.finditer(body) if '"lockfileVersion"' in body else ():
+            k = m.group()
+            if k == '"lockfileVersion"' and depth == 1 and COLON.match(body, m.end()):
+                return True
+            depth += 1 if k in "{[" else -1 if k in "}]" else 0
+        return False
+    return body.startswith("lockfileVersion:") or not NO_DATA.search(path) and bool(LOCK_KEY.search(body))
+
+
+def released(text: str) -> bool:
+    """Whether the header is that of a release: name, version, and rights in the same comment."""
+    head = header(text).lstrip("\ufeff \t\r\n")
+    if RELEASE.match(head):
+        return True
+    m = RELEASE_BLOCK.match(head)
+    return bool(m and RIGHTS.search(head, m.end(), end if (end := head.find("*/", m.end())) >= 0 else len(head)))
+
+
 def reason(path: str, text: str, copied: bool) -> str | None:
     """Why a file isn't hand-written, or None."""
     if copied:
@@ -184,11 +216,10 @@ def reason(path: str, text: str, copied: bool) -> str | None:
         return "notice"
     if marked(text):
         return "mark"
-    start = text[:3000].lstrip("﻿ \t\r\n")
-    if path.endswith(".json") and re.match(r"\{\s*\"(?:lockfileVersion|version)\"\s*:\s*\d+\s*,\s*\"(?:sources|file|names|mappings|requires|packages)\"", start) or '"lockfileVersion"' in start or re.match(r"lockfileVersion:", start):
+    if locks(path, text):
         return "lockfile"
     if SCRIPT.search(path):
-        if RELEASE.match(start) or RELEASE_BLOCK.match(start):
+        if released(text):
             return "released"
         if minified(text):
             return "minified"

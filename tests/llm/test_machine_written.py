@@ -50,3 +50,17 @@ def test_operator_both_ways(spark, monkeypatch):
     monkeypatch.setattr(mw, "BROADCAST_BYTES", 10)
     assert {r["doc_id"]: r["reason"] for r in mw.machine_written(d, libs).collect()} == got
     assert mw.machine_written(d.limit(0), libs, only_found=True).count() == 0 and mw.machine_written(d, libs.limit(0), only_found=True).count() == 4  # the release header still tells
+
+
+LONG = '"dependencies": {' + ", ".join(f'"p{i}": "1.{i}.0"' for i in range(400)) + "}"
+
+
+@pytest.mark.parametrize(
+    "path, text, why",
+    [
+        ("deps.json", "{" + LONG + ', "lockfileVersion": 3}', "lockfile"), ("deps.json", "{" + LONG + ', "x": {"lockfileVersion": 3}}', None), ("deps.json", '{"x": "lockfileVersion"}', None), ("pins.yaml", "# pins\nimporters:\n" + "  a: b\n" * 900 + "lockfileVersion: '6.0'\n", "lockfile"), ("notes.md", "The file begins so:\n\nlockfileVersion: 6\n", None),
+        ("a.js", "/*!\n * kit v1.2.3\n" + " * more words\n" * 400 + " * Licensed under MIT license\n */\nlet a = 1;\n", "released"), ("a.js", "/*!\n * kit v1.2.3\n" + " * more words\n" * 400 + " */\nlet license = 1;\n", None),
+    ],
+)
+def test_whole_texts_are_searched(path, text, why):
+    assert mw.reason(path, text, False) == why
