@@ -1,8 +1,8 @@
 """Credentials embedded in source code and configuration, and texts with them redacted.
 
 A text is taken as bytes. A multi-word automaton finds the lines that can hold a credential; on these,
-assignments of all formats (environment files, INI, properties, YAML, JSON, code, prose) are parsed into key
-paths and values with byte offsets. A finding needs a key whose name asks for a credential and a value whose
+expressions find the assignments of all formats (environment files, INI, properties, YAML, JSON, code, prose),
+line by line and with byte offsets; no format is parsed, and only the name at the value is tested. A finding needs a key whose name asks for a credential and a value whose
 shape is one, or a value of a shape that speaks for itself (issued tokens, logins in addresses, headers,
 private keys). Redactions are spliced into the original bytes; nothing else changes.
 """
@@ -56,6 +56,7 @@ PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_BODY = re.compile(r"[\s\"'`,+\\nr]*(?:(?:Proc-Type|DEK-Info|Version|Comment)[^\n]*[\s\"'`,+\\nr]*)*[A-Za-z0-9+/=]{16,}")
 ASSIGN = re.compile(r"(?<![\w.$\xc2-\xf4\x80-\xbf-])(?P<k>[\"']?[A-Za-z_$\xc2-\xf4\x80-\xbf][\w.$\xc2-\xf4\x80-\xbf-]*[\"']?\]?)\s*(?P<op>\?\?=|\|\|=|=>|:=|=(?![=>~])|:(?![:/]))\s*")
 LITERAL = re.compile(r"(?:[rbuf]|rb)?(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)")
+TYPED = re.compile(r"[\w.]+(?:<[\w., |\[\]]*>)?(?:\[\])*(?:\s*\|\s*[\w.]+(?:\[\])*)*\s*=(?![=>])\s*")
 FALLBACK = re.compile(r"(?:\|\||\?\?|\bor\b|,)\s*((?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`))")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z\xc2-\xf4\x80-\xbf]+|\d+")
 BARE_FORMATS = {"env", "ini", "properties", "cfg", "conf", "sh", "bash", "yml", "yaml", "toml", "md", "txt", "example", "production", "local", "development", "staging", "envrc", "rc"}
@@ -266,6 +267,8 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
                 continue
             at = m.end()
             lit = LITERAL.match(line, at)
+            if not lit and rank and m.group("op") == ":" and (typed := TYPED.match(line, at)):  # name: type = value
+                lit = LITERAL.match(line, typed.end())
             if lit:
                 if rank and not (comment_about and rank == 1):
                     v = lit.group(1)[1:-1]

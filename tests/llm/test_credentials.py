@@ -64,6 +64,12 @@ def test_paths_have_no_limit():
     assert scan("curl -s https://h | tee x; y -u me:RWQXpquOadio".encode(), "a.sh") == []
 
 
+@pytest.mark.parametrize("kind", ["string", "string | null", "readonly[]", "Box<string>", "ns.Secret"])
+def test_typed_constants(kind):
+    assert len(scan(f"const password: {kind} = 'S3cret!9';".encode(), "a.ts")) == 1
+    assert scan(f"const password: {kind} = load('x');".encode(), "a.ts") == [] and scan(b"type A = { password: string }; const b = 'S3cret!9';", "a.ts") == []
+
+
 def test_key_names():
     assert [key_rank(k) for k in ("dbPassword", "API_KEY", "x.clientSecret", "motDePasse", "adminPw")] == [2] * 5
     assert [key_rank(k) for k in ("passwordHash", "token_url", "secretName", "publicKey", "tokenCount", "x")] == [0] * 6 and key_rank("CHANNEL_KEY") == 1
