@@ -7,6 +7,7 @@ class. Of ``>`` each character is a token of its own, ``Tokens.near`` tells that
 from __future__ import annotations
 
 import re
+import sys
 
 RESERVED = frozenset("break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split())
 CONTEXTUAL = frozenset("abstract accessor any as assert asserts async await boolean constructor declare from get global implements infer interface is keyof let module namespace never number object of out override package private protected public readonly require satisfies set static string symbol target type undefined unique unknown using yield meta defer".split())
@@ -59,13 +60,20 @@ def lex(text: str, jsx: bool) -> Tokens:
     if text.startswith("#!", start):
         start = len(text) if (e := text.find("\n", start)) < 0 else e
     try:
-        end = _run(text, start, jsx, out, False)
+        try:
+            end = _run(text, start, jsx, out, False)
+        except RecursionError:  # once more, as deep as templates and elements can be nested; frames are on the heap
+            limit = sys.getrecursionlimit()
+            out = Tokens()
+            sys.setrecursionlimit(limit + 3 * (text.count("{") + text.count("<")))
+            try:
+                end = _run(text, start, jsx, out, False)
+            finally:
+                sys.setrecursionlimit(limit)
         if end < len(text):
             out.bad = end
     except Unlexable as e:
         out.bad = e.args[0]
-    except RecursionError:
-        out.bad = 0
     for k, v in ((out.kinds, "eof"), (out.lines, True), (out.near, False), (out.places, len(text))):
         k.append(v)
     return out
