@@ -7,19 +7,40 @@ followed by one that can begin with b.
 
 from __future__ import annotations
 
-# The grammar of JSON.
+# The grammar of JSON; 'name' is a string with the colon after it, ',n' a comma before one.
 JSON = """
 value: object | array | 'str' | 'num' | 'word'
 object: '{' members? '}'
 members: member next_member*
-next_member: ',' member
-member: 'str' ':' value
+next_member: ',n' member
+member: 'name' value
 array: '[' values? ']'
 values: value next_value*
 next_value: ',' value
 top: 'start' value 'eof'
 """
 
+# YAML, with block structure as brackets.
+YAML = """
+top: 'start' ends? bare? explicit* 'eof'
+ends: 'end'+
+bare: node ends?
+explicit: 'dir'* 'doc' node? ends? | ends node ends?
+node: props? content | props | 'alias'
+props: 'anchor' | 'tag' | 'anchor' 'tag' | 'tag' 'anchor'
+content: 'scalar' | map | seq | flow_map | flow_seq
+map: 'm(' pair+ 'm)'
+pair: 'key' node? value? | value
+value: 'val' node?
+seq: 's(' entry+ 's)'
+entry: 'item' node?
+flow_seq: '[' flow_list? ']'
+flow_map: '{' flow_list? '}'
+flow_list: flow_entry next_entry* ','?
+next_entry: ',' flow_entry
+flow_entry: node | pair
+"""
+
 # Module scripts, generous (every token sequence of a module fits, some others do too). 'name' is any
 # name or contextual word, 'op' a binary operator, 'as' as a separator of renamed parts, 'set' an assignment.
 SCRIPT = """
@@ -142,21 +163,120 @@ type_member_call: '{' call_member | call_member '}' | type_member call_member |
 """
 
 
-def permitted(grammar: str) -> set[tuple[str, str]]:
-    """All pairs (a, b) of tokens that may stand side by side."""
+# Python, generous. 'nl' ends a logical line, 'in(' and 'in)' are indentation, 'soft' the words match,
+# case and type, which are names as well, 'op' a binary operator, 'set' an assignment with an operator.
+PYTHON = """
+top: 'start' statement* 'eof'
+statement: line | compound | 'nl'
+line: simple next_simple* ';'? 'nl'
+next_simple: ';' simple
+simple: list | list annotation | list given | list annotation given | list 'set' right | 'return' list? | 'raise' expression? | 'raise' expression 'from' expression | 'pass' | 'break' | 'continue' | 'global' names | 'nonlocal' names | 'del' list | 'assert' list | 'soft' 'name' generic? given | 'soft' 'soft' generic? given | import
+annotation: ':' expression
+given: assigned+
+assigned: '=' right
+right: list
+names: any next_name*
+next_name: ',' any
+any: 'name' | 'soft'
+import: 'import' modules | 'from' origin 'import' what
+modules: module next_module*
+next_module: ',' module
+module: dotted renamed?
+renamed: 'as' any
+dotted: any next_dotted*
+next_dotted: '.' any
+origin: dots | dots dotted | dotted
+dots: dot+
+dot: '.' | '...'
+what: '*' | parts | '(' parts ','? ')'
+parts: part next_part*
+next_part: ',' part
+part: any renamed?
+compound: decorator* 'async'? 'def' any generic? '(' parameters? ')' result? suite | decorator* 'class' any generic? call? suite | 'if' condition suite | 'elif' condition suite | 'else' suite | 'while' condition suite | 'async'? 'for' list 'in' list suite | 'try' suite | 'except' caught? suite | 'finally' suite | 'async'? 'with' managers suite | 'soft' list ':' 'nl' 'in(' case+ 'in)'
+case: 'soft' patterns guard? suite
+guard: 'if' condition
+patterns: list | list renamed
+condition: expression
+caught: '*'? list renamed?
+managers: list | manager next_manager* | '(' manager next_manager* ','? ')'
+manager: expression renamed?
+next_manager: ',' manager
+suite: ':' block
+block: 'nl' 'in(' statement+ 'in)' | line
+decorator: '@' expression 'nl'
+result: '->' expression
+generic: '[' variables ','? ']'
+variables: variable next_variable*
+next_variable: ',' variable
+variable: star? any annotation? default?
+default: '=' expression
+parameters: parameter next_parameter* ','?
+next_parameter: ',' parameter
+parameter: star? any parameter_type? default? | '/' | '*'
+parameter_type: ':' star? expression
+star: '*' | '**'
+list: item next_item* ','?
+next_item: ',' item
+item: star? expression | 'yield' list? | 'yield' 'from' expression
+expression: choice | 'lambda' bare_parameters? ':' expression | any ':=' expression | pattern_as
+pattern_as: choice 'as' any
+bare_parameters: bare_parameter next_bare* ','?
+next_bare: ',' bare_parameter
+bare_parameter: star? any default? | '/' | '*'
+choice: binary | binary 'if' binary 'else' expression
+binary: unary next_unary*
+next_unary: operator unary
+operator: 'op' | '*' | '**' | '/' | '@' | '-' | '+' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | 'and' | 'or'
+unary: prefix* primary
+prefix: 'not' | '-' | '+' | '~' | 'await'
+primary: atom | primary '.' any | primary call | primary '[' subscripts ']'
+call: '(' arguments? ')'
+arguments: argument next_argument* ','?
+next_argument: ',' argument
+argument: item | any '=' expression | expression comprehension
+comprehension: comprehension_for comprehension_part*
+comprehension_for: 'async'? 'for' list 'in' binary
+comprehension_part: comprehension_for | 'if' binary
+subscripts: subscript next_subscript* ','?
+next_subscript: ',' subscript
+subscript: item | slice
+slice: expression? ':' expression? step?
+step: ':' expression?
+atom: any | 'num' | strings | '...' | 'none' | '(' ')' | '(' list ')' | '(' expression comprehension ')' | '[' ']' | '[' list ']' | '[' expression comprehension ']' | '{' '}' | '{' entries '}' | '{' list '}' | '{' expression comprehension '}' | '{' pair comprehension '}'
+entries: entry next_entry* ','?
+next_entry: ',' entry
+entry: pair | '**' binary
+pair: expression ':' expression
+strings: string+
+string: 'str' | 'f(' filled* 'f)'
+filled: 'fm' | '{' list '='? conversion? format? '}'
+conversion: '!' any
+format: ':' filled*
+"""
+
+
+def _rules(grammar: str) -> dict[str, list[list[tuple[str, bool, bool]]]]:
+    """Alternatives of each rule: (symbol, may be left out, may repeat)."""
     rules: dict[str, list[list[tuple[str, bool, bool]]]] = {}
     for line in grammar.strip().splitlines():
         name, _, body = line.partition(": ")
         for alternative in body.split(" | "):
             symbols = []
             for s in alternative.split():
-                mark = s[-1] if s[-1] in "?*+" and s[-2] != "'" or s[-1] in "?*+" and s.count("'") == 2 and s[-2] == "'" else ""
-                core = s[: -1] if mark else s
-                symbols.append((core, mark in ("?", "*") and bool(mark), mark in ("*", "+") and bool(mark)))
+                mark = s[-1] if s[-1] in "?*+" and s.count("'") in (0, 2) else ""
+                symbols.append((s[:-1] if mark else s, mark in ("?", "*") and bool(mark), mark in ("*", "+") and bool(mark)))
             rules.setdefault(name, []).append(symbols)
+    return rules
+
+
+def within(grammar: str, opening: dict[str, str]) -> set[tuple[str, str, str]]:
+    """(bracket, a, b): the pairs that may stand directly inside a bracket of that kind; '' is outside all."""
+    rules = _rules(grammar)
     empty: set[str] = set()
     first: dict[str, set[str]] = {n: set() for n in rules}
     last: dict[str, set[str]] = {n: set() for n in rules}
+    inside: dict[str, set[str]] = {n: set() for n in rules}  # brackets that a rule's symbols may stand in
+    inside["top"].add("")
 
     def ends(symbol: str, table: dict[str, set[str]]) -> set[str]:
         return {symbol.strip("'")} if symbol[0] == "'" else table[symbol]
@@ -164,12 +284,26 @@ def permitted(grammar: str) -> set[tuple[str, str]]:
     def skippable(s) -> bool:
         return s[1] or s[0] in empty
 
-    changed = True
-    while changed:
-        changed = False
+    def size() -> int:
+        return len(empty) + sum(len(x) for t in (first, last, inside) for x in t.values())
+
+    def around(symbols, outer: str) -> list[str]:
+        """The bracket that is open after each symbol."""
+        stack, out = [outer], []
+        for s, *_ in symbols:
+            token = s.strip("'") if s[0] == "'" else None
+            if token in opening:
+                stack.append(token)
+            elif token in opening.values() and len(stack) > 1:
+                stack.pop()
+            out.append(stack[-1])
+        return out
+
+    before = -1
+    while before != size():
+        before = size()
         for name, alternatives in rules.items():
             for symbols in alternatives:
-                before = len(first[name]) + len(last[name]) + len(empty)
                 for seq, table in ((symbols, first), (symbols[::-1], last)):
                     for s in seq:
                         table[name] |= ends(s[0], table)
@@ -177,15 +311,25 @@ def permitted(grammar: str) -> set[tuple[str, str]]:
                             break
                     else:
                         empty.add(name)
-                changed |= before != len(first[name]) + len(last[name]) + len(empty)
-    pairs: set[tuple[str, str]] = set()
-    for alternatives in rules.values():
-        for symbols in alternatives:
-            for i, s in enumerate(symbols):
-                if s[2]:
-                    pairs |= {(a, b) for a in ends(s[0], last) for b in ends(s[0], first)}
-                for t in symbols[i + 1 :]:
-                    pairs |= {(a, b) for a in ends(s[0], last) for b in ends(t[0], first)}
-                    if not skippable(t):
-                        break
-    return pairs
+                for outer in list(inside[name]):
+                    for s, bracket in zip(symbols, around(symbols, outer)):
+                        if s[0][0] != "'":
+                            inside[s[0]].add(bracket)
+    out: set[tuple[str, str, str]] = set()
+    for name, alternatives in rules.items():
+        for outer in inside[name]:
+            for symbols in alternatives:
+                places = around(symbols, outer)
+                for i, s in enumerate(symbols):
+                    if s[2]:
+                        out |= {(places[i], a, b) for a in ends(s[0], last) for b in ends(s[0], first)}
+                    for t in symbols[i + 1 :]:
+                        out |= {(places[i], a, b) for a in ends(s[0], last) for b in ends(t[0], first)}
+                        if not skippable(t):
+                            break
+    return out
+
+
+def permitted(grammar: str) -> set[tuple[str, str]]:
+    """All pairs (a, b) of tokens that may stand side by side."""
+    return {(a, b) for _, a, b in within(grammar, {})}

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from codestrata.llm.token_pairs import JSON, SCRIPT, permitted
-from codestrata.llm.unparsable import broken_nesting, broken_pairs, judge, rates, unparsable
-from codestrata.llm.yaml_grammar import by_layout
+from codestrata.llm.token_pairs import JSON, PYTHON, SCRIPT, YAML, permitted, within
+from codestrata.llm.unparsable import DEPTH, GRAMMAR, OPENING, PAIR, ROLE, lexed, numbers, odd_nesting, odd_pairs, odd_windows, pair_table, rates, scope_table, token_rows, unparsable
+from codestrata.llm.yaml_tokens import scan
 
 VALID = {
     "a.ts": [
@@ -24,8 +25,8 @@ VALID = {
     "a.mjs": ["await import('x'); import.meta.url; new.target ? 1 : 2;"],
     "a.json": ['{"a": [1, -2.5e3, "\\u00e9", null, true], "b": {}}', "﻿[]", '"x"'],
     "tsconfig.base.json": ['{ // c\n "a": [1, 2,], /* d */ "b": "//no",\n}'],
-    "a.yml": ["a: 1\nb:\n  - c: d\n    e: |\n      text: here\n  - [f, {g: h}]\n---\n? k\n: v\n", "x: \"a: b\" # c\n"],
-    "a.py": ["match x:\n    case {'a': [1, *r]} if r: pass\nasync def f(a, /, b, *, c: int = 1) -> None:\n    async with x as y, z: yield\n", "﻿x = f'{a!r:>{w}}'\r\nif x:\r\n\ty = 1\r\n"],
+    "a.yml": ["a: 1\nb:\n  - c: d\n    e: |\n      text: here\n  - [f, {g: h}]\n---\n? k\n: v\n", "x: \"a: b\" # c\n", "a:\n- b\n- c: d\n  e: f\ng: h\n", "- - a\n  - b\n-\n  c: !!str d\n", "a: &x\n  b: *x\n? [c]\n: {d: e, 'f', \"g\": h}\n", "%YAML 1.1\n---\na: >-\n  folded\n\n  text: here\nb: plain\n  goes on\n...\n---\n- x\n", "{a: b, c}", "a: 'it''s\n  two lines'\n", "", "# only\n", "a: http://x.y#z\n"],
+    "a.py": ["@d\n@e(1)\nclass A:\n    pass\nif x: pass\nelif y: pass\nelse:\n    pass\n\n# c\ntry:\n  x\nexcept (A, B) as e:\n  y\nfinally:\n  z\n", "type X[T] = list[T]\nx: int = 1; y += 2\nprint(*a, **b, sep='' 'x', c=[i async for i in y if i], d={**a, 'b': 1}, e=lambda a, *b: (yield))\nfrom . import (a, b as c,)\nif (n := len(a)) > 1 and a[1:, ::2] is not None: return\n", "match x:\n    case {'a': [1, *r]} if r: pass\nasync def f(a, /, b, *, c: int = 1) -> None:\n    async with x as y, z: yield\n", "﻿x = f'{a!r:>{w}}'\r\nif x:\r\n\ty = 1\r\n"],
     "a.md": ["anything ((("],
 }
 BROKEN = {
@@ -37,54 +38,88 @@ BROKEN = {
     "a.js": ["function f(x: number) {}", "const a = b as c;", "interface I {}", "type A = string;", "class A { private x = 1 }", "let x: string = 1"],
     "a.json": ["{'a': 1}", '{"a": 1,}', "{a: 1}", '{"a": 1} x', '{"a" 1}', "[1 2]", "{", '{"a": NaN}', '{"a": 01}', '{"a": "\t"}', "// c\n{}", "<html></html>"],
     "tsconfig.json": ['{"a": 1,,}', '{"a": [,]}', "{", "{'a': 1}"],
-    "a.yaml": ["a: b: c\n", "a:\n\tb: 1\n", "a: [1, 2\n", "a: \"open\nb: 1\n", "<<<<<<< HEAD\na: 1\n=======\n", "a: 1\n  b: 2\n"],
-    "a.py": ["def f()\n    pass\n", "print 'x'\n", "if x:\npass\n", "x = (1,\n", "  x = 1\ny = 2\n   z\n", "const a = 1;\n"],
+    "a.yaml": ["a: b: c\n", "a:\n\tb: 1\n", "a: [1, 2\n", "a: \"open\nb: 1\n", "<<<<<<< HEAD\na: 1\n=======\n", "a: 1\n  b: 2\n", "a: [1, 2", "a: {b: 1", "a: b\n- c", "a: [b]]", "a: &x &y b", "key: value\nkey2", "a: {b: c: d}", "a: [b,,c]", "a: 'b", "a: *", "%x\na", "a: b: c", "{a: [}]", "- a\nb: c", "a: @b", "a: |x\n b\n", "a: !<b c"],
+    "a.py": ["def f()\n    pass\n", "print 'x'\n", "if x:\npass\n", "x = (1,\n", "x = (1]\n", "def f(:\n  pass\n", "x = 1 2\n", "f(a for)\n", "x = f'{a'\n", "try:\n  x\ny = 1\n", "else:\n  x\n", "a = b = \n", "x = " + "-" * 3000 + "1 2\n", "  x = 1\ny = 2\n   z\n", "const a = 1;\n"],
 }
 
 
+DEEP = [("a.ts", "(", ")", "a", "a b"), ("a.js", "[", "]", "a", "a b"), ("a.ts", "{", "}", "a", "if (a"), ("a.json", "[", "]", "1", "1 2"), ("a.json", '{"a":', "}", "1", '{"b"}'), ("a.json", "[", "]", "{}", '{"b",1}'), ("a.yml", "[", "]", "a", "a,,b"), ("a.tsx", "<A>", "</A>", "{a}", "{a b}"), ("a.js", "`${", "}`", "a", "a b")]
+TRUNCATED = VALID["a.ts"][1]
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """what is wrong, by (path, text), of all cases of this module in one call."""
+    cases = {(p, t) for table in (VALID, BROKEN) for p, ts in table.items() for t in ts}
+    cases |= {(p, a * 3000 + t + b * 3000) for p, a, b, x, y in DEEP for t in (x, y)}
+    cases |= {("a.ts", TRUNCATED[:i]) for i in range(1, len(TRUNCATED) + 1)}
+    cases |= {("a.ts", t) for t in ("x = a >> b;\ny;", "x = a > > b;\ny;", "x = ((" + "(" * 3000 + "1" + ")" * 3000 + "));\nlet y = = 3;")}
+    cases = sorted(cases)
+    df = spark.createDataFrame([(n, "r", f"d/{p}", t) for n, (p, t) in enumerate(cases)], "doc_id int, repo string, path string, text string")
+    return {cases[r["doc_id"]]: r["what"] for r in unparsable(df).collect()}
+
+
 @pytest.mark.parametrize("path, text", [(p, t) for p, ts in VALID.items() for t in ts])
-def test_valid(path, text):
-    assert judge([f"d/{path}"], [text])[0][1] is None
+def test_valid(judged, path, text):
+    assert judged[path, text] is None
 
 
 @pytest.mark.parametrize("path, text", [(p, t) for p, ts in BROKEN.items() for t in ts])
-def test_broken(path, text):
-    assert judge([f"d/{path}"], [text])[0][1] is not None
+def test_broken(judged, path, text):
+    assert judged[path, text] is not None
+
+
+def test_truncation_is_found(judged):
+    assert sum(judged["a.ts", TRUNCATED[:i]] is None for i in range(1, len(TRUNCATED) + 1)) <= 6  # the first letters are a name, and the whole
 
 
-def test_truncation_is_found():
-    text = VALID["a.ts"][1]
-    got = judge(["a.ts"] * len(text), [text[:i] for i in range(1, len(text) + 1)])
-    assert sum(g[1] is None for g in got) <= 6  # the first letters are a name, and the whole
+@pytest.mark.parametrize("path, left, right, good, bad", DEEP)
+def test_deep_nesting_is_followed(judged, path, left, right, good, bad):
+    deep = lambda text: left * 3000 + text + right * 3000
+    assert judged[path, deep(good)] is None and judged[path, deep(bad)] is not None
 
 
-@pytest.mark.parametrize("path, left, right, good, bad", [("a.ts", "(", ")", "a", "a b"), ("a.js", "[", "]", "a", "a b"), ("a.ts", "{", "}", "a", "if (a"), ("a.json", "[", "]", "1", "1 2"), ("a.json", '{"a":', "}", "1", '{"b"}'), ("a.json", "[", "]", "{}", '{"b",1}')])
-def test_deep_nesting_is_followed(path, left, right, good, bad):
-    deep = lambda text: left * 20_000 + text + right * 20_000
-    assert judge([path], [deep(good)])[0][1] is None and judge([path], [deep(bad)])[0][1] is not None
+def test_an_error_after_deep_nesting_is_found(judged):
+    assert all(w for (p, t), w in judged.items() if t.endswith("let y = = 3;"))
 
 
-def test_remembered_windows_keep_blanks():
-    assert [g[1] is None for g in judge(["a.ts", "b.ts"], ["x = a >> b;\ny;", "x = a > > b;\ny;"])] == [True, False]
+def test_equal_windows_keep_blanks(judged):
+    assert judged["a.ts", "x = a >> b;\ny;"] is None and judged["a.ts", "x = a > > b;\ny;"] is not None
 
 
-def test_pairs_and_nesting_rows():
+def test_pairs_of_grammars():
     pairs = permitted(JSON)
-    assert ("str", ":") in pairs and ("str", "str") not in pairs and (",", "}") not in pairs and ("start", "{") in pairs
+    assert ("name", "str") in pairs and ("str", "str") not in pairs and (",n", "}") not in pairs and ("start", "{") in pairs
     assert ("name", "name") in permitted(SCRIPT) and (",", ",") in permitted(SCRIPT) and ("=", ";") not in permitted(SCRIPT)
-    kinds = {"start": 0, "(": 1, ")": 2, "[": 3, "]": 4, "x": 5}
-    opening = {"(": ")", "[": "]"}
-    texts = ["(x)[()]", "(]", "(()", ")", "x", "[(])", "()()", ""]
-    codes = np.array([c for t in texts for c in [0, *(kinds[k] for k in t)]])
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    assert [(b >= 0) for b in broken_nesting(codes, starts, kinds, opening).tolist()] == [False, True, True, True, False, True, False, False]
-    allowed = np.ones((6, 6), bool)
-    allowed[1, 4] = False
-    assert broken_pairs(codes, starts, allowed).tolist()[1] == 2
-
-
-def test_layout_rules_alone():
-    assert all(by_layout(t) < 0 for t in VALID["a.yml"][1:]) and all(by_layout(t) > 0 for t in BROKEN["a.yaml"][:2])
+    assert ("scalar", "scalar") not in permitted(YAML) and ("m(", "key") in permitted(YAML) and ("nl", "in(") in permitted(PYTHON)
+    inside = within(JSON, OPENING[2])
+    assert ("{", "str", ",n") in inside and ("[", "str", ",n") not in inside and ("", "num", ",") not in inside
+
+
+def test_nesting_of_rows(spark):
+    texts = ["(x)[()]", "(]", "(()", ")", "x", "[(])", "()()", "", "x)(", "((x)"]
+    of = {**numbers(1)[0], "x": numbers(1)[0]["num"]}
+    rows = [(n, p, int(t)) for n, text in enumerate(texts) for p, t in enumerate(token_rows(1, np.array([of[c] for c in text] + [of["eof"]])))]
+    tokens = spark.createDataFrame(rows, "row bigint, position int, t bigint").select("row", "position", F.shiftright("t", DEPTH).alias("depth"), F.shiftright("t", ROLE).bitwiseAND(3).alias("role"), F.col("t").bitwiseAND(PAIR).alias("pair"))
+    assert {r["row"] for r in odd_nesting(tokens, scope_table(spark)).collect()} == {1, 2, 3, 5, 8, 9}
+
+
+def test_tables_decide(spark):
+    """A pair taken from the table makes documents with it broken; a window is reduced by itself."""
+    df = spark.createDataFrame([(1, "r", "a.ts", "let a = 1;\nf(a);\n"), (2, "r", "b.ts", "let b = 2;\n"), (3, "r", "c.json", "[1]")], "doc_id int, repo string, path string, text string")
+    of, by = numbers(1)
+    without = pair_table(spark).filter(F.col("pair") != (1 << 16 | int(by[of["name"]]) << 8 | of["("]))
+    assert unparsable(df).filter("broken").count() == 0
+    assert [(r["doc_id"], r["what"]) for r in unparsable(df, pairs=without).filter("broken").collect()] == [(1, "pair")]
+    windows = lexed(df).select(F.explode("windows").alias("window"))
+    assert windows.count() == 3 and odd_windows(windows).count() == 0 and odd_windows(windows.limit(0)).count() == 0
+    assert odd_pairs(spark.createDataFrame([(1, 0, 1 << 16)], "row bigint, position int, pair bigint"), pair_table(spark)).count() == 1
+
+
+def test_yaml_brackets():
+    kinds, _, bad = scan("a:\n- b\n- {c: d}\ne: |\n  f\n")
+    assert bad < 0 and kinds == "m( key scalar val s( item scalar item { key scalar val scalar } s) key scalar val scalar m) eof".split()
+    assert all(len(numbers(f)[0]) < 256 for f in GRAMMAR)
 
 
 def test_operator_and_rates(spark):
