@@ -1,10 +1,11 @@
 """Credentials embedded in source code and configuration, and texts with them redacted.
 
-A text is taken as bytes. A multi-word automaton finds the lines that can hold a credential; on these,
-expressions find the assignments of all formats (environment files, INI, properties, YAML, JSON, code, prose),
-line by line and with byte offsets; no format is parsed, and only the name at the value is tested. A finding needs a key whose name asks for a credential and a value whose
-shape is one, or a value of a shape that speaks for itself (issued tokens, logins in addresses, headers,
-private keys). Redactions are spliced into the original bytes; nothing else changes.
+A text is taken as bytes. Configuration formats are read into key paths with byte offsets (``config_paths``), and of
+each value the names on its path and its own shape decide. In code, comments and prose, and in what of a configuration
+file can't be read, expressions find assignments on the lines that a multi-word automaton picks out. A finding needs a
+name that asks for a credential and a value whose shape is one, or a value of a shape that speaks for itself (issued
+tokens, logins in addresses, headers, private keys). Redactions are spliced into the original bytes; nothing else
+changes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .config_paths import entries, format_of
+
 MASK = "[REDACTED]"
 
 # Last words of names that ask for a credential; those of the second list only with a value that
@@ -171,24 +174,69 @@ def _commands(line: str) -> Iterator[re.Match]:
             yield of[n]
 
 
-class Paths:
-    """Keys with those they stand under, by indentation (YAML, and JSON as it is usually laid out); asked for in the
-    order of the lines."""
+# Names that say nothing of their own, so that the name above them counts, and names of collections
+# whose members may be credentials whatever they are called.
+PLAIN = {"[]", "value", "default", "raw", "current", "old", "new", "prod", "production", "dev", "development", "staging", "local", "plain", "text", "data", "content", "literal", "primary", "secondary", "main"}
+COLLECTIONS = {"secrets", "credentials", "tokens", "passwords", "passphrases", "apikeys"}
+EMBEDDED = re.compile(r"(?<![\w.$-])([A-Za-z_][\w.-]*)\s*=\s*([^;&\s,'\"]+)")
 
-    def __init__(self, lines: list[str]):
-        self.lines, self.at, self.stack = lines, 0, []
 
-    def path(self, at: int, key: str) -> str:
-        for n in range(self.at, at):
-            line = self.lines[n]
-            if m := re.match(r"(?:- )?[\"']?([\w.-]+)[\"']?\s*[:=]\s*[\[{|>]?-?\s*$", line.strip()):
-                d = len(line) - len(line.lstrip())
-                while self.stack and self.stack[-1][0] >= d:
-                    self.stack.pop()
-                self.stack.append((d, m.group(1)))
-        self.at = max(self.at, at)
-        depth = len(self.lines[at]) - len(self.lines[at].lstrip())
-        return ".".join([*(k for d, k in self.stack if d < depth), key.strip("\"'")])
+def path_rank(path: tuple[str, ...]) -> int:
+    """As ``key_rank``, of a whole key path: names that say nothing leave it to the one above, members of a collection
+    of credentials may be some."""
+    names = list(path)
+    while len(names) > 1 and (names[-1].lower() in PLAIN or names[-1].isdigit()):
+        names.pop()
+    if not names or re.search(r"[/*@]", names[-1]):
+        return 0
+    rank = 2 if names[-1].lower() in COLLECTIONS and len(names) < len(path) else key_rank(names[-1])
+    if not rank and len(names) > 1 and any(re.sub(r"[^a-z]", "", n.lower()) in COLLECTIONS for n in names[:-1]):
+        words = re.findall(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+", names[-1])
+        rank = 0 if not words or words[-1].lower() in ABOUT | {"user", "username", "owner", "email"} else 1
+    return rank
+
+
+def in_formats(data: bytes, kind: str) -> list[tuple[int, int, bool, tuple[str, ...]]]:
+    """(first byte, end, quoted, key path) of each value of a configuration text."""
+    text = data.decode("utf-8", "replace") if not data.isascii() else data.decode("ascii")
+    found = list(entries(text, kind))
+    if data.isascii():
+        return [(a, b, q, p) for p, a, b, q in found]
+    at, size, of = 0, 0, {}
+    for place in sorted({x for _, a, b, _ in found for x in (a, b)}):
+        size += len(text[at:place].encode())
+        at = place
+        of[place] = size
+    return [(of[a], of[b], q, p) for p, a, b, q in found]
+
+
+def _phrase(name: str, value: str, quoted: bool) -> bool:
+    """Whether a value is a password of letters only, or of words, which only the names of passwords allow."""
+    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", name)]
+    if not words or not quoted or FAKE.search(value) or REFERENCE.search(value) or len(set(value)) < 6:
+        return False
+    if words[-1] == "passphrase":
+        return len(value) >= 12 and bool(re.fullmatch(r"[\w'-]+(?: [\w'-]+)*", value))
+    return words[-1] in ("password", "passwd", "pwd") and bool(re.fullmatch(r"[A-Za-z]{8,}", value))
+
+
+def scan_formats(data: bytes, kind: str) -> list[tuple[int, int, str, str]]:
+    """(first byte, end, kind of finding, key path), and with an empty kind the values that aren't credentials."""
+    plain, out = data.decode("latin-1"), []
+    for a, b, quoted, path in in_formats(data, kind):
+        value, name = plain[a:b], ".".join(path)
+        rank = path_rank(path)
+        if rank and (shaped(value, rank, quoted, path[-1].isupper()) or rank == 2 and _phrase(path[-1], value, quoted)):
+            out.append((a, b, "assigned", name))
+            continue
+        if "\n" in value:
+            continue
+        out.append((a, b, "", name))
+        if "=" in value:
+            for m in EMBEDDED.finditer(value):
+                if (r := key_rank(m.group(1))) and shaped(m.group(2), r, False, m.group(1).isupper()):
+                    out.append((a + m.start(2), a + m.end(2), "assigned", f"{name}.{m.group(1)}"))
+    return out
 
 
 def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
@@ -198,22 +246,24 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
     hits = [end for end, _ in _automaton().iter(data.lower().decode("latin-1"))]
     if "+" in plain and (joins := [m.start() for m in QUOTED_PLUS.finditer(plain)]):
         hits = sorted(hits + joins)
-    if not hits:
+    kind = format_of(path)
+    if not hits and not (kind and "\\" in plain):
         return []
+    parsed = scan_formats(data, kind) if kind else []
+    decided = sorted((a, b) for a, b, _, _ in parsed)
     lines = plain.split("\n")
     starts = [0]
     for x in lines:
         starts.append(starts[-1] + len(x) + 1)
     suffix = path.rpartition("/")[2].rpartition(".")[2].lower()
     bare_file = suffix in BARE_FORMATS or path.rpartition("/")[2].startswith(".env")
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = [(a, b, k, p.encode().decode("latin-1")) for a, b, k, p in parsed if k]
     numbers, last, until = [], -1, -1
     for h in hits:
         if h >= until:
             last = bisect_right(starts, h) - 1
             until = starts[last + 1]
             numbers.append(last)
-    paths = Paths(lines)
     for n in numbers:
         line = lines[n]
         base = starts[n]
@@ -266,6 +316,8 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
             if not rank and not m.group("k").isidentifier():
                 continue
             at = m.end()
+            if decided and (d := bisect_right(decided, (base + at + 1, len(plain)))) and decided[d - 1][1] >= base + at:
+                continue  # a value that was read with its path
             lit = LITERAL.match(line, at)
             if not lit and rank and m.group("op") == ":" and (typed := TYPED.match(line, at)):  # name: type = value
                 lit = LITERAL.match(line, typed.end())
@@ -273,7 +325,7 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
                 if rank and not (comment_about and rank == 1):
                     v = lit.group(1)[1:-1]
                     if shaped(v, rank, True, m.group("k").rpartition(".")[2].strip("\"'").isupper()):
-                        add(lit.start(1) + 1, lit.end(1) - 1, "assigned", paths.path(n, m.group("k")))
+                        add(lit.start(1) + 1, lit.end(1) - 1, "assigned", m.group("k").strip("\"'"))
                 continue
             rest = line[at:]
             if re.match(r"(?:Buffer\.from|atob|b64decode|base64\.b64decode|bytes|SecretStr|new TextEncoder\(\)\.encode)\(", rest):
@@ -296,13 +348,13 @@ def scan(data: bytes, path: str = "", patterns: tuple = ()) -> list[Finding]:
                 v = lines[n + 1].strip()
                 if shaped(v, rank, True):
                     s = starts[n + 1] + lines[n + 1].index(v)
-                    found.append((s, s + len(v), "assigned", paths.path(n, m.group("k"))))
+                    found.append((s, s + len(v), "assigned", m.group("k").strip("\"'")))
                 continue
             if bare_file or suffix == "" or rank == 2 and re.search(r"//|#|/?\*", line[: m.start()]) or re.match(r"\s*(?:export\s+|ENV\s+|-\s+)?$", line[: m.start()]) and m.group("op") == "=" and m.group("k").isupper():
                 v = re.split(r"\s+#|\s*[;,]\s*$|\s", rest.strip(), maxsplit=1)[0] if rest.strip() else ""
                 if v and v[0] not in "\"'`" and shaped(v, rank, False):
                     s = at + rest.index(v)
-                    add(s, s + len(v), "assigned", paths.path(n, m.group("k")))
+                    add(s, s + len(v), "assigned", m.group("k").strip("\"'"))
         for p in patterns:
             for m in p.finditer(line):
                 quoted = re.search(r"[=:]\s*['\"]([^'\"]+)['\"]$", m.group())

@@ -30,6 +30,7 @@ class Scanner:
         self.text, self.at = text, 1 if text.startswith("﻿") else 0
         self.kinds: list[str] = []
         self.places: list[int] = []
+        self.ends: list[int] = []  # of scalars: where they end
         self.levels: list[tuple[int, str]] = []  # column and kind (m, s, or i: a sequence at the column of its mapping)
         self.flow: list[bool] = []  # per open bracket: whether its present entry has a colon
         self.keys: dict[int, tuple[int, int, int, bool]] = {}  # per flow depth: token, place, column, required
@@ -40,6 +41,7 @@ class Scanner:
         at = len(self.kinds) if at is None else at
         self.kinds.insert(at, kind)
         self.places.insert(at, where)
+        self.ends.insert(at, where)
 
     @property
     def column(self) -> int:
@@ -212,6 +214,7 @@ class Scanner:
         if m is None:
             raise Bad(self.at)
         self.emit(kind, self.at)
+        self.ends[-1] = m.end()
         self.move(m.end())
 
     def move(self, end: int) -> None:
@@ -250,7 +253,7 @@ class Scanner:
             if text.startswith("#", at):
                 break
         self.emit("scalar", start)
-        self.at = end
+        self.at = self.ends[-1] = end
         if several and not self.flow:
             self.allow = True
 
@@ -287,7 +290,7 @@ class Scanner:
             e = min((x for x in (text.find("\n", at), text.find("\r", at)) if x >= 0), default=len(text))
             at = e
         self.line = max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1
-        self.at = at
+        self.at = self.ends[-1] = at
         self.allow = True
 
 

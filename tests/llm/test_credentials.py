@@ -6,7 +6,7 @@ import pytest
 
 pytest.importorskip("ahocorasick")
 from codestrata.llm.credentials import MAYBE, compiled, find, key_rank, redact, redacted, scan  # noqa: E402
-from codestrata.llm.unparsable import judge  # noqa: E402
+from codestrata.llm.config_paths import entries, format_of  # noqa: E402
 
 R = "vZc72nb+wVonIhR7DV6skOCZ3uXOV2VArl"
 FOUND = [
@@ -80,7 +80,7 @@ def test_redaction_keeps_bytes_and_grammar():
     data = text.encode()
     out = redacted(data, scan(data, "a.ts")).decode()
     assert R not in out and out.count("[REDACTED]") == 2 and out.startswith("// ключ 🙂\r\n") and "// é" in out
-    assert judge(["a.ts"], [out])[0][1] is None
+    assert out.count("'") == text.count("'") - 2 and out.count("\r\n") == text.count("\r\n")
     pem = f'{{"k": "-----BEGIN PRIVATE KEY-----\\n{R}\\n-----END PRIVATE KEY-----\\n", "b": 1}}'
     got = json.loads(redacted(pem.encode(), scan(pem.encode(), "a.json")))
     assert got["b"] == 1 and got["k"] == "-----BEGIN PRIVATE KEY-----\n[REDACTED]\n-----END PRIVATE KEY-----\n"
@@ -99,3 +99,44 @@ def test_operators(spark):
     assert len(got) == len(rows) and got[900]["text"] == FOUND[0][1] and got[900]["credentials"] == 1 and got[901]["text"] is None
     assert "[REDACTED]" in got[0]["text"] and "[REDACTED]" in got[903]["text"] and got[100]["text"] == CLEAN[0][1] and got[902]["text"] == ""
     assert find(d.limit(0)).count() == 0
+
+
+FORMATS = [
+    ("a.json", '{"services":{"db":{"password":"a1","list":["x",{"k":"z"}],"p\\u0061ss":\n "v1", /* c */ "n": 12}}, "e": []}', ["services.db.password=a1", "services.db.list.[]=x", "services.db.list.[].k=z", "services.db.pass=v1", "services.db.n=12"]),
+    ("a.yml", "é:\n  db: >\n\n    folded\n  q: \"q1\"\ntokens:\n- a1\n- b: c1\n  d: [e1, {f: g1}, h: i1]\nlast: |\n  x\n", ["é.db=folded", "é.q=q1", "tokens.[]=a1", "tokens.[].b=c1", "tokens.[].d.[]=e1", "tokens.[].d.[].f=g1", "tokens.[].d.[].h=i1", "last=x"]),
+    ("a.toml", "top = \"a1\"\n[services.db]\npassword = 'b1' # c\nl = [\"x1\",\n  \"z1\"]\nt = { user = \"u1\", n = [1] }\n[[arr]]\n\"q k\".z = 12\n", ["top=a1", "services.db.password=b1", "services.db.l.[]=x1", "services.db.l.[]=z1", "services.db.t.user=u1", "services.db.t.n.[]=1", "arr.q k.z=12"]),
+    ("a.ini", "[services.db]\npassword = x1 ; c\n; note = z\n[o]\nkey: v1\n", ["services.db.password=x1", "o.key=v1"]),
+    ("a.properties", "db.password=abc\n# c=d\nk\\:1 : v\n", ["db.password=abc", "k:1=v"]), (".env.prod", "export A=\"x1\"\nB='y\n1'\nC=z1 # c\n# D=e\n", ["A=x1", "B=y\n1", "C=z1"]),
+    ("a.xml", "<a><password>p1</password><add key=\"dbPassword\" value=\"v1\"/><!-- <x>y</x> --></a>", ["a.password=p1", "a.add.key=dbPassword", "a.add.dbPassword=v1"]),
+]
+
+
+@pytest.mark.parametrize("path, text, want", FORMATS)
+def test_key_paths(path, text, want):
+    assert [f"{'.'.join(p)}={text[a:b]}" for p, a, b, _ in entries(text, format_of(path))] == want
+
+
+@pytest.mark.parametrize("path", ["a.json", "a.yml", "a.toml", "a.ini", "a.properties", ".env", "a.xml"])
+@pytest.mark.parametrize("text", ["", "\n", "{[", "a: [b", "x = [", "x = {a = [", "<a", "'", "\"", "[", "]" * 5, "a=\\", "a = \"\"\"", "- - -", ": :", "{" * 9000, "[" * 9000, "- " * 3000, "a: " * 300])
+def test_readers_end(path, text):
+    assert isinstance(list(entries(text, format_of(path))), list)
+    scan(f"password {text} \\".encode(), path)
+
+
+IN_FORMATS = [
+    ("a.json", '{"services":{"db":{"password":"Replica#2801?kernel"}}}', "services.db.password"), ("a.toml", '[services.db]\npassword = "Replica#2801?kernel"\n', "services.db.password"), ("a.ini", "[services.db]\npassword=Replica#2801?kernel\n", "services.db.password"), ("a.json", '{"password":\n  "Replica#2801?kernel"}', "password"), ("a.json", '{"p\\u0061ssword": "Replica#2801?kernel"}', "password"),
+    ("a.yml", "password: >\n\n  Replica#2801?kernel\n", "password"), ("a.json", '{"password":"letmeinplease"}', "password"), ("a.yml", "password:\n  value: Replica#2801?kernel\n", "password.value"), ("a.yml", f"tokens:\n  - {R}\n", "tokens.[]"), ("a.yml", f"secrets:\n  billing: {R}\n", "secrets.billing"), ("a.xml", "<c><password>Replica#2801?kernel</password></c>", "c.password"), ("a.json", '{"dsn": "Server=h;Password=Ab12!xyz;"}', "dsn.Password"), ("a.yml", "passphrase: \"correct horse battery staple\"\n", "passphrase"), ("a.yml", "ü: é\ndb: {pass: 'Ré#2801?kernel'}\n", "db.pass"),
+]
+
+
+@pytest.mark.parametrize("path, text, key", IN_FORMATS)
+def test_paths_decide(path, text, key):
+    f = scan(text.encode(), path)
+    assert [x.key_path for x in f] == [key] and text.encode()[f[0].start : f[0].end] in text.encode()
+    out = redacted(text.encode(), f)
+    assert out.replace(b"[REDACTED]", text.encode()[f[0].start : f[0].end]) == text.encode()
+
+
+@pytest.mark.parametrize("path, text", [("a.json", '{"paths": {"@token/*": ["src/channel/*"]}}'), ("a.yml", "secrets:\n  owner: Replica#2801?kernel\n"), ("a.json", '{"passwordPolicy": {"value": "Replica#2801?kernel"}}'), ("a.yml", "password:\n  - ${X}\n"), ("a.toml", "[password]\nlength = 'Replica#2801'\n"), ("a.ini", "[a]\npassword = ; none\n")])
+def test_paths_clear(path, text):
+    assert scan(text.encode(), path) == []
