@@ -19,11 +19,18 @@ def test_hand_written(text):
     assert mw.reason("src/vendors/generated-reports/a.ts", text + CODE, False) is None
 
 
-@pytest.mark.parametrize("path, why", [("a/package-lock.json", "lockfile"), ("a/pnpm-lock.yaml", "lockfile"), ("vendor/x/a.js", "vendored"), ("a/node_modules/b/c.js", "vendored"), ("src/a.min.js", "named"), ("src/a_pb.ts", "named"), ("x/a.js.map", "named"), ("dist/a.js", "output"), ("build/a.js", "output"), ("src/__generated__/a.ts", "output"), ("build/tools/a.ts", None), ("src/distribution/a.ts", None), ("docs/vendors/a.md", None), ("src/lock.ts", None), ("dist/readme.md", None)])
+@pytest.mark.parametrize("path, why", [("a/package-lock.json", "lockfile"), ("a/pnpm-lock.yaml", "lockfile"), ("a/node_modules/b/c.js", "vendored"), ("src/a.min.js", "named"), ("src/a_pb.ts", "named"), ("x/a.js.map", "named"), ("src/__generated__/a.ts", "output"), ("vendor/x/a.js", None), ("src/external/stripe.ts", None), ("src/deps/index.ts", None), ("src/gen/rand.ts", None), ("dist/a.js", None), ("build/tools/a.ts", None), ("src/distribution/a.ts", None), ("docs/vendors/a.md", None), ("src/lock.ts", None), ("dist/readme.md", None)])
 def test_paths(path, why):
     assert mw.reason(path, CODE, False) == why
 
 
+def test_names_count_where_texts_show_it(spark):
+    rows = [(1, "vendor/a.js", "// @generated\n" + CODE), (2, "x/vendor/b.js", CODE), (3, "external/a.js", CODE), (4, "external/b.js", CODE), (5, "external/c.js", "// @generated\n" + CODE), (6, "vendor/readme.md", CODE), (7, "build/tools/a.js", CODE)]
+    d = spark.createDataFrame(rows, "doc_id bigint, path string, text string")
+    got = {r["doc_id"]: r["reason"] for r in mw.machine_written(d, spark.createDataFrame([], "lib_id bigint, text string")).collect()}
+    assert got == {1: "notice", 2: "directory", 3: None, 4: None, 5: "notice", 6: None, 7: None}
+
+
 def test_contents():
     assert mw.reason("a.js", '"use strict";\n\nObject.defineProperty(exports, "__esModule", { value: true });\n' + CODE, False) == "mark"
     assert mw.reason("a.js", "!function(e){" + "var a=b(c,1);try{d.e()}catch(f){g(f)}" * 20 + "}(h);", False) == "minified"
@@ -32,24 +39,31 @@ def test_contents():
     assert mw.reason("a.ts", CODE * 10 + "export const q = '" + "select a, b from c where d = e and " * 30 + "';\n", False) is None
     assert mw.reason("a.ts", CODE + "const rows = [\n" + "  { name: 'the first', note: 'a second', n: 3 },\n" * 30 + "];\n", False) is None
     assert mw.reason("a.ts", "", False) is None
+    wrapped = "\n".join("var a=b(c,1);d.e(f,g);h=i?j:k;for(l in m)n(o);" for _ in range(12))
+    assert mw.reason("a.js", wrapped, False) == "minified"
+    assert mw.reason("a.js", CODE * 400 + "//# sourceMappingURL=a.js.map\n", False) == "mark" and mw.reason("a.js", "İ" * 9 + "\n/******/ x\n", False) == "mark"
+    assert mw.reason("a.js", CODE + "const s = '//# sourceMappingURL=x';\n", False) is None
 
 
 def test_copies():
     known = mw.Libraries([LIBRARY, None, ""])
     changed = LIBRARY.replace("quick-sort 1.2.3", "x").replace("part7(", "portion7(").replace("right * 9;", "right * 99;")
-    half = "\n".join(LIBRARY.split("\n")[:15]) + CODE * 30
-    assert known.copies([LIBRARY, changed, changed.replace("\n", "\r\n"), CODE, half, None, "", CODE + LIBRARY]) == [True, True, True, False, False, False, False, True]
+    half = "\n".join(LIBRARY.split("\n")[1:15]) + CODE * 30
+    assert known.copies([LIBRARY, changed, changed.replace("\n", "\r\n"), CODE, half, None, "", CODE + LIBRARY]).tolist() == [True, True, True, False, False, False, False, True]
 
 
 def test_operator_both_ways(spark, monkeypatch):
     rows = [(1, "src/a.js", LIBRARY, 0), (2, "src/b.js", CODE, 0), (3, None, None, 0), (4, "x/yarn.lock", None, 0), (5, None, "// @generated\n" + CODE, 0), (2, "src/b.js", CODE, 0), (6, "a.js", LIBRARY.replace("part3", "p3"), 0)]
     d = spark.createDataFrame(rows, "doc_id bigint, path string, text string, reason int")
-    libs = spark.createDataFrame([(1, LIBRARY), (2, None)], "lib_id bigint, text string")
+    half = "\n".join(LIBRARY.split("\n")[1:15]) + CODE * 30
+    rows += [(7, "a.js", half, 0), *[(8, "a.js", half, 0)] * 3, (9, "a.js", CODE + LIBRARY, 0), (10, "vendor/a.js", LIBRARY, 0), (11, "vendor/b.js", CODE, 0)]
+    d = spark.createDataFrame(rows, "doc_id bigint, path string, text string, reason int")
+    libs = spark.createDataFrame([(1, LIBRARY), (2, None), (3, LIBRARY), (4, "a b"), (5, CODE * 2)], "lib_id bigint, text string")
     got = {r["doc_id"]: r["reason"] for r in mw.machine_written(d, libs).collect()}
-    assert got == {1: "copy", 2: None, 3: None, 4: "lockfile", 5: "notice", 6: "copy"}
+    assert got == {1: "copy", 2: None, 3: None, 4: "lockfile", 5: "notice", 6: "copy", 7: None, 8: None, 9: "copy", 10: "copy", 11: "directory"}
     monkeypatch.setattr(mw, "BROADCAST_BYTES", 10)
     assert {r["doc_id"]: r["reason"] for r in mw.machine_written(d, libs).collect()} == got
-    assert mw.machine_written(d.limit(0), libs, only_found=True).count() == 0 and mw.machine_written(d, libs.limit(0), only_found=True).count() == 4  # the release header still tells
+    assert mw.machine_written(d.limit(0), libs, only_found=True).count() == 0 and mw.machine_written(d, libs.limit(0), only_found=True).count() == 6  # the release header still tells
 
 
 LONG = '"dependencies": {' + ", ".join(f'"p{i}": "1.{i}.0"' for i in range(400)) + "}"
