@@ -13,7 +13,7 @@ from .errors import AnalysisError, ReadOnlyError, StateError
 from .functions.words import query_weights
 from .operators import activity, context, conventions, decisions, diff, entry_points, graph, issues, modules, resolution, rules, search, workspace
 from .operators import files as file_ops
-from .session import cut
+from .session import cut, stored
 from .sources.facts import Registry, default_registry, exploded, read_facts
 from .sources.git_history import Git, parse_diff, read_history
 from .sources.repo_files import read_tree
@@ -267,7 +267,7 @@ class Engine:
     @cached_property
     def index(self) -> search.Index:
         i = search.Index.build(self.search_documents)
-        return search.Index(i.documents, cut(i.postings), cut(i.lengths), i.frequencies)
+        return search.Index(i.documents, stored(i.rows))
 
     def search(self, text: str, limit: int = 10, types: list[str] | None = None, repo: str | None = None, backend=search.search, reranker=None) -> DataFrame:
         i = self.index

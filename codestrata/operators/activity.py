@@ -17,11 +17,15 @@ ARCHITECTURE = ("refactor", "architecture", "adr", "breaking", "migrat", "restru
 
 def nearest_rank(counts: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Per group the value at place ``round(f * (n - 1))`` of the sorted values, for each named fraction. Values are
-    numbered by a window, so no group is gathered."""
+    counted before they are shuffled, and running sums of the counts give the places: a group takes part with its
+    distinct values, not with its rows. Null values aren't counted."""
+    n = counts.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
     w = W.partitionBy(*by)
-    ranked = counts.withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count("*").over(w)})
+    upto = F.sum("_k").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = n.withColumns({"_to": upto, "_n": F.sum("_k").over(w)})
     place = lambda f: F.floor(f * (F.col("_n") - 1) + 0.5)
-    return ranked.groupBy(*by).agg(*(F.max(F.when(F.col("_i") == place(f), F.col(value))).alias(name) for name, f in fractions.items()))
+    met = lambda f: (F.col("_to") > place(f)) & (F.col("_to") - F.col("_k") <= place(f))
+    return placed.groupBy(*by).agg(*(F.max(F.when(met(f), F.col(value))).alias(name) for name, f in fractions.items()))
 
 
 def bucket(count: Column, low: Column, high: Column) -> Column:

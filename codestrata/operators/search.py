@@ -9,62 +9,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import analyze, path_words, query_weights, stem, truncate
+from ..session import stored
 
 WEIGHTS = {"title": 3, "keywords": 2, "body": 1}
 K1, B, TITLE_BOOST, IDENTIFIER_BOOST = 1.2, 0.75, 1.35, 0.9
 
 
-def postings(documents: DataFrame) -> DataFrame:
-    """``id, term, tf, in_title`` of ``documents`` (id, title, keywords array, body). A field counts a term once, each
-    entry of keywords is a field; frequencies are field weights. Null fields are empty; repeated ids add up."""
+def term_rows(documents: DataFrame) -> DataFrame:
+    """``id, length, terms`` of ``documents`` (id, title, keywords array, body): terms are structs of term, tf and
+    in_title, length is the sum of tf. A field counts a term once, each entry of keywords is a field; frequencies are
+    field weights. Null fields are empty. All of it is made inside the row: nothing is shuffled."""
     empty = F.array().cast("array<string>")
-    title = F.coalesce(analyze(F.col("title"), True), empty)
-    keys = F.coalesce(F.flatten(F.transform(F.coalesce("keywords", empty), lambda k: F.coalesce(analyze(k, True), empty))), empty)
-    body = F.coalesce(analyze(F.col("body"), True), empty)
+    title = F.coalesce(analyze(F.col("title"), True), empty).alias("title")
+    keys = F.coalesce(F.flatten(F.transform(F.coalesce("keywords", empty), lambda k: F.coalesce(analyze(k, True), empty))), empty).alias("keys")
+    body = F.coalesce(analyze(F.col("body"), True), empty).alias("body")
+    rows = documents.select("id", title, keys, body)
 
-    def field(terms, w: int, first: bool):
-        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"), F.lit(first).alias("in_title")))
+    def entry(t, in_body: int):
+        named = F.array_contains("title", t)
+        tf = F.when(named, WEIGHTS["title"]).otherwise(0) + WEIGHTS["keywords"] * F.size(F.filter("keys", lambda k: k == t)) + WEIGHTS["body"] * in_body
+        return F.struct(t.alias("term"), tf.cast("long").alias("tf"), named.alias("in_title"))
 
-    all_ = F.concat(field(title, WEIGHTS["title"], True), field(keys, WEIGHTS["keywords"], False), field(body, WEIGHTS["body"], False))
-    return documents.select("id", F.explode(all_).alias("p")).groupBy("id", "p.term").agg(F.sum("p.w").alias("tf"), F.max("p.in_title").alias("in_title"))
+    elsewhere = F.array_except(F.array_distinct(F.concat("title", "keys")), F.col("body"))
+    rows = rows.select("id", F.concat(F.transform("body", lambda t: entry(t, 1)), F.transform(elsewhere, lambda t: entry(t, 0))).alias("terms"))
+    return rows.select("id", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).alias("length"), "terms")
 
 
 @dataclass
 class Index:
-    """What a search needs: the documents, their postings, lengths, document frequencies, the two corpus numbers."""
+    """The documents and, of each, its terms and length. Ids are unique; a repeated one is a document of its own."""
 
     documents: DataFrame
-    postings: DataFrame
-    lengths: DataFrame
-    frequencies: DataFrame
+    rows: DataFrame
 
     @classmethod
     def build(cls, documents: DataFrame) -> Index:
-        p = postings(documents)
-        return cls(documents, p, p.groupBy("id").agg(F.sum("tf").alias("length")), p.groupBy("term").agg(F.count("*").alias("df")))
+        return cls(documents, term_rows(documents))
+
+    @property
+    def postings(self) -> DataFrame:
+        """``id, term, tf, in_title``: the inverted index as a table."""
+        return self.rows.select("id", F.explode("terms").alias("t")).select("id", "t.*")
 
 
 def search(index: Index, query: str, limit: int | None = 10, types: list[str] | None = None, min_score: float = 0.0) -> DataFrame:
     """``id, score, matched`` of the best documents, best first, equal scores by id. ``limit`` None: all.
 
-    Postings are filtered to the query's terms (a few, known on the driver) before anything is joined, so stop
-    words and hot terms cost nothing; frequencies of those terms come from the same filtered rows. The number of
-    documents and their mean length are one row, joined by broadcast."""
+    The terms of a document are filtered to those of the query (a few, known on the driver) inside its row; what is
+    left is written to the shared folder once, a length and a few terms per document, and gives hits, frequencies and
+    the corpus numbers. Those are one row, and frequencies a row per term of the query, joined by broadcast."""
     weights = query_weights(query)
     spark = index.documents.sparkSession
     if not weights:
         return spark.createDataFrame([], "id string, score double, matched array<string>")
     terms = spark.createDataFrame([(t, float(w)) for t, w in weights.items()], "term string, weight double")
     docs = index.documents if types is None else index.documents.filter(F.col("type").isin(types))
-    hits = index.postings.filter(F.col("term").isin(list(weights)))
-    corpus = index.documents.agg(F.greatest(F.count("*"), F.lit(1)).cast("double").alias("n")).crossJoin(index.lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("total")))
+    near = stored(index.rows.select("id", "length", F.filter("terms", lambda x: x["term"].isin(list(weights))).alias("hits")))
+    hits = near.select("id", "length", F.explode("hits").alias("h")).select("id", "length", "h.*")
+    corpus = near.agg(F.greatest(F.count("*"), F.lit(1)).cast("double").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     t = terms.join(F.broadcast(df), "term", "left")
     n = F.col("n")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = 1 - B + B * F.col("length") / F.greatest(F.col("total") / n, F.lit(1.0))
     tf = F.col("tf").cast("double")
-    scored = hits.join(F.broadcast(t), "term").join(index.lengths, "id").crossJoin(F.broadcast(corpus)).select("id", "term", (idf * tf * (K1 + 1) / (tf + K1 * norm) * F.col("weight")).alias("s"), "in_title")
+    scored = hits.join(F.broadcast(t), "term").crossJoin(F.broadcast(corpus)).select("id", "term", (idf * tf * (K1 + 1) / (tf + K1 * norm) * F.col("weight")).alias("s"), "in_title")
     # a term that stands only in the words of the name's path
     words = docs.select("id", F.explode(F.array_distinct(F.concat(path_words(F.coalesce("title", F.lit(""))), analyze(F.coalesce("title", F.lit("")), True)))).alias("word"))
     named = words.join(F.broadcast(t.withColumn("stem", stem(F.col("term")))), (F.col("word") == F.col("term")) | (F.col("word") == F.col("stem"))).groupBy("id", "term").agg(F.first("weight").alias("weight"), F.first("df").alias("df"))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Parts that a group is spread over before it is put together.
+SPREAD = 64
+
 
 def count_by(rows: DataFrame, key: str) -> DataFrame:
     """``key, count``, most frequent first, equal ones by key."""
@@ -49,10 +52,11 @@ def dominant(rows: DataFrame, by: list[str], value: str, least: int, threshold:
 
 
 def fold(rows: DataFrame, by: list[str], subject: str = "subject", most: int = 5) -> DataFrame:
-    """``by, count, subject, samples``: distinct subjects counted, the first five as samples, the subject itself where
-    there is only one. Samples are taken by rank, so a group is never gathered whole."""
-    s = rows.select(*by, subject).distinct()
-    w = W.partitionBy(*by)
-    ranked = s.withColumns({"_n": F.row_number().over(w.orderBy(subject)), "_c": F.count("*").over(w)}).filter(F.col("_n") <= most)
-    a = ranked.groupBy(*by, F.col("_c").alias("count")).agg(F.array_sort(F.collect_list(subject)).alias("samples"))
-    return a.select(*by, "count", F.when(F.col("count") == 1, F.col("samples")[0]).alias("subject"), "samples")
+    """``by, count, subject, samples``: distinct subjects counted, the least five as samples, the subject itself where
+    there is only one. A hot group is spread by a hash of the subject: each part gives its number and its first five,
+    so that a group takes part in the last step with a few rows a part. Null subjects are counted, not sampled."""
+    s = rows.select(*by, subject).distinct().withColumn("_part", F.pmod(F.xxhash64(subject), F.lit(SPREAD)))
+    rank = F.row_number().over(W.partitionBy(*by, "_part").orderBy(F.asc_nulls_last(subject)))
+    parts = s.withColumn("_r", rank).groupBy(*by, "_part").agg(F.count("*").alias("_c"), F.collect_list(F.when(F.col("_r") <= most, F.col(subject))).alias("_s"))
+    a = parts.groupBy(*by).agg(F.sum("_c").alias("count"), F.slice(F.array_sort(F.flatten(F.collect_list("_s"))), 1, most).alias("samples"))
+    return a.select(*by, "count", F.when(F.col("count") == 1, F.get("samples", F.lit(0))).alias("subject"), "samples")

@@ -40,34 +40,13 @@ def nearest_rank_quantiles(spark, folder):
 
 
 def event_cycles(spark, folder):
-    """Which event types lead to each other, as strongly connected components over users' consecutive events; only
-    each type's most frequent successor, users of even and of odd numbers apart, as the SQL says."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, folder, "events").select("user_id", F.col("event_type").alias("source"), F.lead("event_type").over(w).alias("target"))
-    kind = F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd")
-    e = e.filter("target IS NOT NULL AND source <> target").groupBy(kind.alias("repo"), "source", "target").agg(F.count("*").alias("n"))
-    top = F.row_number().over(W.partitionBy("repo", "source").orderBy(F.desc("n"), "target"))
-    return graph.cycles(e.withColumn("r", top).filter("r = 1").select("repo", "source", "target"))
-
-
-def event_cycles_whole(spark, folder):
-    """The same over all transitions of all users, in one graph."""
+    """Which event types lead to each other, as strongly connected components over all users' consecutive events."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, folder, "events").select(F.lit("all").alias("repo"), F.col("event_type").alias("source"), F.lead("event_type").over(w).alias("target"))
     return graph.cycles(e)
 
 
 def supplier_reach(spark, folder):
-    """Suppliers within two steps of each nation's least supplier, a step leading from the least supplier of a part to
-    the others of that part, as the SQL says."""
-    line = table(spark, folder, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    near = line.groupBy("l_partkey").agg(F.min("l_suppkey").alias("a"))
-    e = line.join(near, "l_partkey").filter("a <> l_suppkey").select(F.lit("all").alias("repo"), F.col("a").cast("string").alias("source"), F.col("l_suppkey").cast("string").alias("target")).distinct()
-    starts = table(spark, folder, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").cast("string").alias("node")).select(F.lit("all").alias("repo"), "node")
-    return graph.reachable(e, starts, 2).groupBy("start", F.col("level").cast("long").alias("level")).agg(F.count("*").alias("reached"))
-
-
-def supplier_reach_whole(spark, folder):
     """Suppliers within two steps of each nation's least supplier, a step being a part that both supply, whoever they
     are: by way of the part, so that no pairs of suppliers are made."""
     to_part = table(spark, folder, "lineitem").filter("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL").select(F.lit("all").alias("repo"), F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
@@ -77,7 +56,7 @@ def supplier_reach_whole(spark, folder):
     return met.groupBy(F.substr("start", F.lit(2)).alias("start"), (F.col("level") / 2).cast("long").alias("level")).agg(F.count("*").alias("reached"))
 
 
-QUERIES = {f.__name__: f for f in (activity_by_file, activity_by_module, top_contributors, nearest_rank_quantiles, event_cycles, event_cycles_whole, supplier_reach, supplier_reach_whole)}
+QUERIES = {f.__name__: f for f in (activity_by_file, activity_by_module, top_contributors, nearest_rank_quantiles, event_cycles, supplier_reach)}
 
 _T = "t AS (SELECT l_orderkey AS sha, l_partkey AS path, p_brand AS module, p_type AS repo, o_custkey AS author, o_orderdate AS ts FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey)"
 
@@ -93,12 +72,9 @@ SQL = {
     "activity_by_module": _activity("module"),
     "top_contributors": f"WITH {_T} SELECT repo, module, row_number() OVER (PARTITION BY repo, module ORDER BY commits DESC, author) AS rank, author, commits, touches FROM (SELECT repo, module, author, count(DISTINCT sha) AS commits, count(*) AS touches FROM t GROUP BY ALL) QUALIFY rank <= 3",
     "nearest_rank_quantiles": f"WITH {_T}, c AS (SELECT repo, path, count(DISTINCT sha) AS n FROM t GROUP BY ALL), q AS (SELECT repo, list_sort(list(n)) AS l FROM c GROUP BY repo) SELECT repo, l[1 + floor(0.33::DOUBLE * (len(l) - 1) + 0.5)::INT] AS low, l[1 + floor(0.66::DOUBLE * (len(l) - 1) + 0.5)::INT] AS high FROM q",
-    "event_cycles": """WITH RECURSIVE n AS (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
-c AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS repo, a, b, count(*) AS n FROM n WHERE b IS NOT NULL AND a <> b GROUP BY ALL), e AS (SELECT repo, a, b FROM c QUALIFY row_number() OVER (PARTITION BY repo, a ORDER BY n DESC, b) = 1),
-r AS (SELECT repo, a, b FROM e UNION SELECT r.repo, r.a, e.b FROM r JOIN e ON e.repo = r.repo AND e.a = r.b),
-m AS (SELECT x.repo, x.a, x.b FROM r x JOIN r y ON y.repo = x.repo AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b) SELECT repo, least(a, min(b)) AS component, a AS node FROM m GROUP BY repo, a""",
-    "supplier_reach": """WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), n AS (SELECT l_partkey, min(l_suppkey) AS a FROM l GROUP BY 1),
-e AS (SELECT DISTINCT CAST(a AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b FROM l JOIN n USING (l_partkey) WHERE a <> l_suppkey), s AS (SELECT DISTINCT CAST(min(s_suppkey) AS VARCHAR) AS start FROM supplier GROUP BY s_nationkey),
-r AS (SELECT start, start AS node, 0 AS level FROM s UNION SELECT r.start, e.b, r.level + 1 FROM r JOIN e ON e.a = r.node WHERE r.level < 2)
-SELECT start, level, count(*) AS reached FROM (SELECT start, node, min(level)::BIGINT AS level FROM r WHERE node <> start GROUP BY ALL) GROUP BY ALL""",
+    "event_cycles": """WITH RECURSIVE n AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), e AS (SELECT DISTINCT a, b FROM n WHERE b IS NOT NULL AND a <> b),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), m AS (SELECT x.a, x.b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b) SELECT 'all' AS repo, least(a, min(b)) AS component, a AS node FROM m GROUP BY a""",
+    "supplier_reach": """WITH RECURSIVE l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL), e AS (SELECT DISTINCT x.s AS a, y.s AS b FROM l x JOIN l y ON x.p = y.p WHERE x.s <> y.s),
+f AS (SELECT DISTINCT min(s_suppkey) AS start FROM supplier GROUP BY s_nationkey), r AS (SELECT start, start AS node, 0 AS level FROM f UNION SELECT r.start, e.b, r.level + 1 FROM r JOIN e ON e.a = r.node WHERE r.level < 2)
+SELECT CAST(start AS VARCHAR) AS start, level, count(*) AS reached FROM (SELECT start, node, min(level)::BIGINT AS level FROM r WHERE node <> start GROUP BY ALL) GROUP BY ALL""",
 }

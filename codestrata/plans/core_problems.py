@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.changed_records import changed_records, upper_limit
+from ..operators.changed_records import ChangeLog, upper_limit
 from ..operators.snapshot_changes import snapshot_changes
-from ..session import table
+from ..session import shared_folder, table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The first commit of the log: everything up to the upper limit that is fixed here."""
+    """The cases that a log holds after two steps: one up to the middle of the time in which runs were reported, one up
+    to what is there now."""
     runs, state = table(spark, folder, "scan_runs"), table(spark, folder, "scan_state")
-    cases, _ = changed_records(runs, state, None, upper_limit(runs, state))
-    return cases.select("run_id", "path")
+    high = upper_limit(runs, state)
+    first = runs.agg(F.min("updated_at")).first()[0]
+    log = ChangeLog(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}")
+    if first is not None and first < high:
+        log.step(runs, state, first + (high - first) / 2)
+    log.step(runs, state, high)
+    return log.cases().select("run_id", "path")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,14 +1,10 @@
 """Queries of the operators on source collections, over whole tables, and the SQL they are held against.
 
-``documents`` is the file table (repo, path, text). The queries with SQL take imports from ``quick_imports``, which SQL
-can say too but which finds only part of them; those named ``…_whole`` run on what the token reader finds and have none."""
+``documents`` is the file table (repo, path, text). Imports are those of ``quick_imports``, which SQL can say too."""
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -19,7 +15,7 @@ from ..functions.secret_rules import contains_secret, matched_rules, redact
 from ..operators import files as file_ops
 from ..operators import conventions, graph, issues, modules, resolution, rules, search, tables, workspace
 from ..session import cut, table
-from ..sources.facts import exploded, read_facts
+from ..sources.facts import read_facts
 from ..sources.quick_imports import SCRIPTS, quick_imports
 
 NO_PACKAGES = "repo string, name string, directory string, entries array<string>"
@@ -48,7 +44,7 @@ def dominant_case(spark, folder):
 
 
 def stem_terms(spark, folder):
-    w = _docs(spark, folder).select(F.explode(words.split_identifier(F.col("text"))).alias("word")).filter("word RLIKE '^[a-z]{2,30}$'").groupBy("word").agg(F.count("*").alias("n"))
+    w = _docs(spark, folder).select(F.explode(words.split_identifier(F.col("text"))).alias("word")).filter("word RLIKE '^[a-z]{2,}$'").groupBy("word").agg(F.count("*").alias("n"))
     return w.select("word", "n", words.stem(F.col("word")).alias("stem"))
 
 
@@ -83,49 +79,40 @@ def content_duplicates(spark, folder):
     return file_ops.duplicates(_docs(spark, folder).select("repo", "path", F.sha2("text", 256).alias("hash")))
 
 
+def _read(spark, folder, suffix):
+    """Facts of the documents whose path ends so, by the readers of their language."""
+    return read_facts(_docs(spark, folder).filter(F.col("path").endswith(suffix)))
+
+
 def markdown_headings(spark, folder):
-    d = _docs(spark, folder).filter("path LIKE '%.md' AND text IS NOT NULL").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"^\uFEFF", ""), "\r?\n")).alias("n", "line"))
-    fence = F.col("line").rlike(r"^\s*(```|~~~)")
-    open_ = F.sum(fence.cast("int")).over(W.partitionBy("doc_id").orderBy("n"))
-    h = d.withColumn("open", open_ % 2).filter(~fence & (F.col("open") == 0) & F.col("line").rlike(r"^#{1,6}\s+"))
-    return h.select("doc_id", (F.col("n") + 1).cast("long").alias("line_no"), F.length(F.regexp_extract("line", "^(#+)", 1)).cast("long").alias("level"), F.trim(F.regexp_replace(F.regexp_extract("line", r"^#+\s+(.*)$", 1), r"[#\s]+$", "")).alias("title"))
+    h = F.from_json(F.get_json_object("metadata", "$.headings"), "array<struct<level: bigint, title: string, line: bigint>>")
+    return _read(spark, folder, ".md").select("repo", "path", F.explode(h).alias("h")).select("repo", "path", F.col("h.line").alias("line_no"), "h.level", "h.title")
 
 
 def markdown_links(spark, folder):
-    d = _docs(spark, folder).filter("path LIKE '%.md'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[[^\]\n]{0,120}\]\(([^)\s]{1,400})\)"), 1)).alias("target"))
-    return d.groupBy("doc_id", "target").agg(F.count("*").alias("n"))
+    links = F.from_json(F.get_json_object("metadata", "$.links"), "array<struct<target: string>>")
+    return _read(spark, folder, ".md").select("repo", "path", F.explode(links).alias("l")).groupBy("repo", "path", F.col("l.target").alias("target")).agg(F.count("*").alias("n"))
 
 
 def json_keys(spark, folder):
-    d = _docs(spark, folder).filter("path LIKE '%.json' AND ltrim(text) LIKE '{%'")
-    return d.select("doc_id", F.array_join(F.array_sort(F.json_object_keys("text")), ",").alias("keys")).join(d.filter(F.try_parse_json("text").isNotNull()).select("doc_id"), "doc_id", "left_semi")
+    d = _read(spark, folder, ".json").filter("language = 'json' AND status = 'ok'").filter(F.get_json_object("metadata", "$.root") == "object")
+    return d.select("repo", "path", F.array_join(F.from_json(F.get_json_object("metadata", "$.keys"), "array<string>"), ",").alias("keys"))
 
 
 def manifests(spark, folder):
-    d = _docs(spark, folder).filter(F.col("path").rlike(r"(^|/)package\.json$") & F.try_parse_json("text").isNotNull())
-    g = lambda k: F.get_json_object("text", f"$.{k}")
-    return d.select("repo", P.dirname(F.col("path")).alias("directory"), g("name").alias("name"), g("version").alias("version"), g("type").alias("type"), (F.coalesce(g("private"), F.lit("")) == "true").alias("private"))
+    d = _read(spark, folder, "package.json").filter("language = 'package-json' AND status = 'ok'")
+    g = lambda k: F.get_json_object("metadata", f"$.{k}")
+    return d.select("repo", P.dirname(F.col("path")).alias("directory"), g("name").alias("name"), g("version").alias("version"), g("type").alias("type"), (g("private") == "true").alias("private"))
 
 
 # imports and the graph
 def _imports(spark, folder):
-    return quick_imports(_docs(spark, folder)).withColumn("syntax", F.lit("static"))
-
-
-def _read_imports(spark, folder):
-    """All imports of scripts: also ``require``, ``import()`` and statements over several lines. In files whose tokens or
-    brackets don't fit together, statements that begin a line and that the reader missed are added after its own, as
-    static ones. Kept, for they are used up to five times and the texts are to be read once."""
-    scripts = _docs(spark, folder).filter(F.col("path").rlike(SCRIPTS))
-    facts = cut(read_facts(scripts).select("repo", "path", "status", "imports"))
-    found = exploded(facts, "imports").select("repo", "path", "at", "specifier", "syntax", "type_only")
-    odd = facts.filter("status <> 'ok'").groupBy("repo", "path").agg(F.max(F.size("imports")).alias("n"))
-    more = quick_imports(scripts).join(odd, ["repo", "path"]).join(found, ["repo", "path", "specifier"], "left_anti")
-    return cut(found.unionByName(more.select("repo", "path", (F.col("at") + F.col("n")).alias("at"), "specifier", F.lit("static").alias("syntax"), F.lit(False).alias("type_only"))))
+    return quick_imports(_docs(spark, folder))
 
 
-def static_imports(spark, folder, read=_imports):
-    return read(spark, folder).select("repo", "path", F.col("at").cast("long").alias("at"), "specifier")
+def static_imports(spark, folder):
+    """All imports, with their kind."""
+    return _imports(spark, folder).select("repo", "path", F.col("at").cast("long").alias("at"), "specifier", "syntax")
 
 
 def _resolved(spark, folder, imports):
@@ -137,17 +124,17 @@ def _resolved(spark, folder, imports):
     return resolution.resolve(imports, known, aliases, spark.createDataFrame([], NO_PACKAGES))
 
 
-def resolved_imports(spark, folder, read=_imports):
-    return _resolved(spark, folder, read(spark, folder)).select("repo", "path", "specifier", "kind", "target", "reason", "confidence")
+def resolved_imports(spark, folder):
+    return _resolved(spark, folder, _imports(spark, folder)).select("repo", "path", "specifier", "kind", "target", "reason", "confidence")
 
 
-def import_gaps(spark, folder, read=_imports):
-    u = issues.causes(resolution.unresolved(_resolved(spark, folder, read(spark, folder))))
+def import_gaps(spark, folder):
+    u = issues.causes(resolution.unresolved(_resolved(spark, folder, _imports(spark, folder))))
     return tables.fold(u, ["repo", "cause"]).select("repo", "cause", "count", "subject", F.array_join("samples", "|").alias("samples"))
 
 
-def package_signals(spark, folder, read=_imports):
-    s = read(spark, folder).select("specifier").distinct()
+def package_signals(spark, folder):
+    s = _imports(spark, folder).select("specifier").distinct()
     i = importance(package_name(F.col("specifier")), is_builtin(F.col("specifier")), F.lit(False))
     return s.select("specifier", package_name(F.col("specifier")).alias("package"), is_builtin(F.col("specifier")).alias("builtin"), F.array_join(signals(F.col("specifier")), ",").alias("signals"), F.when(package_name(F.col("specifier")).isNotNull(), i["value"]).alias("importance"))
 
@@ -161,64 +148,53 @@ def module_files(spark, folder):
     return _modules(spark, folder).select("repo", "path", "module", "basis", "directory")
 
 
-def _edges(spark, folder, read=_imports):
-    imports = cut(read(spark, folder))  # read twice; the texts aren't
+def _edges(spark, folder):
+    imports = cut(_imports(spark, folder))  # read twice; the texts aren't
     return cut(modules.file_edges(imports, _resolved(spark, folder, imports)))
 
 
-def _module_edges(spark, folder, read, mods=None):
-    return modules.module_edges(_edges(spark, folder, read), _modules(spark, folder) if mods is None else mods)
+def _module_edges(spark, folder, mods=None):
+    return modules.module_edges(_edges(spark, folder), _modules(spark, folder) if mods is None else mods)
 
 
-def module_edges(spark, folder, read=_imports):
-    return _module_edges(spark, folder, read).select("repo", "source", "target", "files", F.array_join("relationships", ",").alias("relationships"), (F.size("evidence") - 1).cast("long").alias("shown"))
+def module_edges(spark, folder):
+    return _module_edges(spark, folder).select("repo", "source", "target", "files", F.array_join("relationships", ",").alias("relationships"), (F.size("evidence") - 1).cast("long").alias("shown"))
 
 
-def module_neighbours(spark, folder, read=_imports):
-    n = modules.neighbours(_module_edges(spark, folder, read))
+def module_neighbours(spark, folder):
+    n = modules.neighbours(_module_edges(spark, folder))
     return n.select("repo", "module", F.array_join("depends_on", "|").alias("depends_on"), F.array_join("used_by", "|").alias("used_by"))
 
 
-def incoming_imports(spark, folder, read=_imports):
-    return modules.incoming(_edges(spark, folder, read))
+def incoming_imports(spark, folder):
+    return modules.incoming(_edges(spark, folder))
 
 
-def external_packages(spark, folder, read=_imports):
+def external_packages(spark, folder):
     none = spark.createDataFrame([], "repo string, package string, dependency string, scope string")
-    return modules.externals(_edges(spark, folder, read), _modules(spark, folder), none).select("repo", "name", "scope", "files", "modules", "importance", "confidence")
-
-
-def _directory_graph(spark, folder, read=_imports):
-    """Between the first segments of paths, as the SQL says."""
-    top = lambda c: F.concat_ws("/", F.slice(F.split(c, "/"), 1, 1))
-    e = _edges(spark, folder, read).filter("target_kind = 'file'")
-    return e.select("repo", top("source").alias("source"), top("target").alias("target")).filter("source <> target").distinct()
-
-
-def directory_cycles(spark, folder, read=_imports):
-    return graph.cycles(_directory_graph(spark, folder, read))
+    return modules.externals(_edges(spark, folder), _modules(spark, folder), none).select("repo", "name", "scope", "files", "modules", "importance", "confidence")
 
 
-def directory_cycles_whole(spark, folder):
-    """Cycles between directories, whatever their depth, over all imports."""
-    e = _edges(spark, folder, _read_imports).filter("target_kind = 'file'")
+def directory_cycles(spark, folder):
+    """Cycles between directories, whatever their depth."""
+    e = _edges(spark, folder).filter("target_kind = 'file'")
     return graph.cycles(e.select("repo", P.dirname(F.col("source")).alias("source"), P.dirname(F.col("target")).alias("target")).filter("source <> target").distinct())
 
 
-def dependents_within_3(spark, folder, read=_imports):
-    e = _edges(spark, folder, read).filter("target_kind = 'file'").select("repo", "source", "target").distinct()
+def dependents_within_3(spark, folder):
+    e = _edges(spark, folder).filter("target_kind = 'file'").select("repo", "source", "target").distinct()
     starts = e.select("repo", F.col("target").alias("node")).distinct()
     return graph.reachable(e, starts, 3, reverse=True).select("repo", "start", "node", F.col("level").cast("long").alias("level"))
 
 
-def affected_modules(spark, folder, read=_imports):
+def affected_modules(spark, folder):
     changed = _docs(spark, folder).filter("fetched_at >= TIMESTAMP_NTZ '2024-06-01 00:00:00'").select("repo", "path")
     mods = cut(_modules(spark, folder))
-    return graph.affected(changed, mods, _module_edges(spark, folder, read, mods))
+    return graph.affected(changed, mods, _module_edges(spark, folder, mods))
 
 
-def edges_between(spark, folder, read=_imports):
-    e, m = _edges(spark, folder, read), cut(_modules(spark, folder))
+def edges_between(spark, folder):
+    e, m = _edges(spark, folder), cut(_modules(spark, folder))
     pairs = modules.module_edges(e, m).select("repo", "source", "target")
     return graph.between(e, pairs, m).select("repo", "source", "target", "files", F.array_join("relationships", ",").alias("relationships"))
 
@@ -230,22 +206,20 @@ def longest_prefix(spark, folder):
 
 
 # rules
-def noisy_or_roles(spark, folder, read=_imports, mods=None):
-    mods = cut(_modules(spark, folder)) if mods is None else mods
-    m = mods.select("repo", "module", "directory").distinct()
-    named = F.concat_ws("/", "module", "directory")
-    hits = F.array_compact(F.array(*(F.when(named.rlike(rules.name_pattern(w)), F.struct(F.lit(r).alias("role"), F.lit(x).alias("w"))) for r, w, x in rules.NAME_RULES)))
-    by_name = m.select("repo", "module", F.explode(hits).alias("h")).select("repo", "module", "h.*")
-    s = read(spark, folder).select("repo", "path", F.explode(signals(F.col("specifier"))).alias("signal")).join(mods, ["repo", "path"]).select("repo", "module", "signal").distinct()
-    by_signal = s.join(F.broadcast(spark.createDataFrame(list(rules.SIGNAL_RULES), "signal string, role string, w double, label string")), "signal").select("repo", "module", "role", "w")
-    a = by_name.unionByName(by_signal).groupBy("repo", "module", "role").agg(rules.noisy_or(F.collect_list("w")).alias("confidence")).filter("confidence >= 0.3")
-    rank = F.row_number().over(W.partitionBy("repo", "module").orderBy(F.desc("confidence"), "role"))
-    return a.withColumn("rank", rank).filter("rank <= 4").select("repo", "module", F.col("rank").cast("long").alias("rank"), "role", "confidence")
-
-
-def layering_violations(spark, folder, read=_imports):
+def _roles(spark, folder, mods):
+    told = _imports(spark, folder).select("repo", "path", signals(F.col("specifier")).alias("signals"))
+    entries = spark.createDataFrame([], "repo string, module string, type string, path string")
+    return rules.roles(mods, rules.module_signals(told, mods), entries, spark.createDataFrame([], "repo string, name string"))
+
+
+def noisy_or_roles(spark, folder):
+    """Roles from names and from what imports tell; entry points and manifests are left to ``module_roles``."""
+    return _roles(spark, folder, cut(_modules(spark, folder))).select("repo", "module", F.col("rank").cast("long").alias("rank"), "role", "confidence")
+
+
+def layering_violations(spark, folder):
     mods = cut(_modules(spark, folder))
-    return rules.layering(_module_edges(spark, folder, read, mods), noisy_or_roles(spark, folder, read, mods)).select("repo", "source", "target", "kind")
+    return rules.layering(_module_edges(spark, folder, mods), _roles(spark, folder, mods)).select("repo", "source", "target", "kind")
 
 
 def precision_recall(spark, folder):
@@ -270,11 +244,11 @@ def set_difference(spark, folder):
     return tables.difference(table(spark, folder, "files"), _docs(spark, folder), ["repo", "path"])
 
 
-def import_statistics(spark, folder, read=_imports):
-    i = read(spark, folder).select("repo", "path", "specifier", "syntax", F.col("at").alias("line"), F.lit(False).alias("type_only"))
+def import_statistics(spark, folder):
+    i = _imports(spark, folder).select("repo", "path", "specifier", "syntax", F.col("at").alias("line"), (F.col("syntax") == "type-only").alias("type_only"))
     a = spark.createDataFrame(list(ALIASES), "pattern string, targets array<string>, base string, source string")
     a = i.select("repo").distinct().crossJoin(F.broadcast(a))
-    return conventions.import_statistics(i, a).select("repo", "files", *(F.col(c).cast("long").alias(c) for c in ("relative", "alias", "external", "explicit", "mixed_files", "external_first")))
+    return conventions.import_statistics(i, a).select("repo", "files", *(F.col(c).cast("long").alias(c) for c in ("relative", "alias", "external", "explicit", "requires", "typed_files", "mixed_files", "external_first")))
 
 
 def package_managers(spark, folder):
@@ -284,14 +258,6 @@ def package_managers(spark, folder):
 
 
 def parse_reuse(spark, folder):
-    """Files whose content was read before (here: stands in a document with an even id), and files to be read."""
-    d = _docs(spark, folder).select("doc_id", "repo", "path", F.sha2("text", 256).alias("hash"), file_ops.language_of(F.col("path")).alias("language")).filter("hash IS NOT NULL")
-    fresh, known = file_ops.to_parse(d.filter("doc_id % 2 = 1").drop("doc_id"), d.filter("doc_id % 2 = 0").select("hash", "language"))
-    n = lambda df, name: df.groupBy("repo").agg(F.count("*").alias(name))
-    return n(fresh, "fresh").join(n(known, "known"), "repo", "full_outer").na.fill(0)
-
-
-def parse_reuse_whole(spark, folder):
     """Documents fetched since SINCE, or at an unknown time: how many have a content that stands in one fetched before."""
     d = _docs(spark, folder).select("repo", "path", F.sha2("text", 256).alias("hash"), file_ops.language_of(F.col("path")).alias("language"), F.coalesce(F.col("fetched_at") < F.lit(SINCE).cast("timestamp_ntz"), F.lit(False)).alias("before")).filter("hash IS NOT NULL")
     fresh, known = file_ops.to_parse(d.filter("NOT before").drop("before"), d.filter("before").select("hash", "language"))
@@ -313,14 +279,12 @@ def _search_documents(spark, folder):
 
 def bm25_search(spark, folder):
     i = search.Index.build(_search_documents(spark, folder))
-    i = search.Index(i.documents, cut(i.postings), i.lengths, i.frequencies)
-    i = search.Index(i.documents, i.postings, i.postings.groupBy("id").agg(F.sum("tf").alias("length")), i.frequencies)
     return search.search(i, "payment cache errors in queue workers", limit=20).select("id", "score", F.array_join("matched", ",").alias("matched"))
 
 
 def term_frequencies(spark, folder):
-    p = search.postings(_search_documents(spark, folder))
-    return p.filter("term RLIKE '^[a-z]{2,40}$'").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"))
+    p = search.Index.build(_search_documents(spark, folder)).postings
+    return p.filter("term RLIKE '^[a-z]{2,}$'").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("tf"))
 
 
 # changes
@@ -343,7 +307,3 @@ QUERIES = {
         module_files, module_edges, module_neighbours, incoming_imports, external_packages, directory_cycles, dependents_within_3, affected_modules, edges_between, longest_prefix, noisy_or_roles, layering_violations, precision_recall, evidence_coverage, first_wins, set_difference, import_statistics, package_managers, parse_reuse, unread_targets, bm25_search, term_frequencies, listing_changes,
     )
 }
-#: The queries on imports over all imports.
-WHOLE = (static_imports, resolved_imports, import_gaps, package_signals, module_edges, module_neighbours, incoming_imports, external_packages, dependents_within_3, affected_modules, edges_between, noisy_or_roles, layering_violations, import_statistics)
-QUERIES |= {f"{f.__name__}_whole": partial(f, read=_read_imports) for f in WHOLE}
-QUERIES |= {f.__name__: f for f in (directory_cycles_whole, parse_reuse_whole)}

@@ -8,7 +8,7 @@ from ..functions.words import SPACE, query_weights
 from ..operators import files as file_ops
 from ..operators import rules as role_rules
 from ..operators.issues import BUILD_OUTPUT
-from ..sources.quick_imports import SCRIPTS, STATEMENT
+from ..sources.quick_imports import COMMENT, ESCAPE, SCRIPTS, SPECIFIER, STATEMENT, SYNTAX
 
 
 def q(text: str) -> str:
@@ -50,9 +50,9 @@ LANGUAGE = f"CASE WHEN {BASE('path')} = 'package.json' THEN 'package-json' WHEN
 
 # imports, resolution, modules
 IMPORTS = f"""
-im AS (SELECT repo, path, n - 1 AS n, specifier FROM (
-  SELECT repo, path, unnest(s) AS specifier, generate_subscripts(s, 1) AS n FROM (
-    SELECT repo, path, regexp_extract_all(text, {q('(?m)' + STATEMENT)}, 1) AS s FROM documents WHERE regexp_matches(path, {q(SCRIPTS)}) AND contains(text, 'import'))))"""
+im AS (SELECT repo, path, n - 1 AS n, regexp_extract(s, {q(SPECIFIER)}, 1) AS specifier, CASE {' '.join(f"WHEN regexp_matches(s, {q(rx)}) THEN {q(name)}" for rx, name in SYNTAX)} ELSE 'static' END AS syntax FROM (
+  SELECT repo, path, unnest(s) AS s, generate_subscripts(s, 1) AS n FROM (
+    SELECT repo, path, list_filter(regexp_extract_all(regexp_replace(regexp_replace(text, {q(ESCAPE)}, '', 'g'), {q(COMMENT)}, {q(chr(92) + '1')}, 'g'), {q(STATEMENT)}, 1), lambda x: x <> '') AS s FROM documents WHERE regexp_matches(path, {q(SCRIPTS)}))))"""
 _EXTENSIONS = ".ts .tsx .mts .cts .d.ts .js .jsx .mjs .cjs .json".split()
 _REWRITES = {".js": ".ts .tsx .d.ts .js", ".jsx": ".tsx .jsx", ".mjs": ".mts .mjs", ".cjs": ".cts .cjs"}
 _CANDIDATES = (
@@ -97,9 +97,10 @@ mods AS (
   FROM src s LEFT JOIN mdir m ON m.repo = s.repo AND starts_with(s.path, m.dir || '/')
   QUALIFY row_number() OVER (PARTITION BY s.repo, s.path ORDER BY length(m.dir) DESC NULLS LAST) = 1)"""
 EDGES = f"""{RESOLVED}, {MODULES},
-fe AS (SELECT repo, path AS source, target, CASE WHEN kind = 'internal-file' THEN 'file' ELSE 'package' END AS target_kind, kind, specifier FROM res WHERE kind <> 'unresolved'),
-lifted AS (SELECT e.repo, a.module AS source, b.module AS target, e.source AS f, e.specifier FROM fe e JOIN mods a ON a.repo = e.repo AND a.path = e.source JOIN mods b ON b.repo = e.repo AND b.path = e.target WHERE e.target_kind = 'file' AND a.module <> b.module),
-me AS (SELECT repo, source, target, count(DISTINCT f) AS files, least(4, count(*)) AS shown FROM lifted GROUP BY ALL)"""
+fe AS (SELECT repo, path AS source, target, CASE WHEN kind = 'internal-file' THEN 'file' ELSE 'package' END AS target_kind, kind, specifier, CASE WHEN syntax = 'reexport' THEN 'exports' ELSE 'imports' END AS relationship
+  FROM res JOIN (SELECT DISTINCT repo, path, specifier, syntax FROM im) USING (repo, path, specifier) WHERE kind <> 'unresolved'),
+lifted AS (SELECT e.repo, a.module AS source, b.module AS target, e.source AS f, e.specifier, e.relationship FROM fe e JOIN mods a ON a.repo = e.repo AND a.path = e.source JOIN mods b ON b.repo = e.repo AND b.path = e.target WHERE e.target_kind = 'file' AND a.module <> b.module),
+me AS (SELECT repo, source, target, count(DISTINCT f) AS files, least(4, count(*)) AS shown, array_to_string(list_sort(list(DISTINCT relationship)), ',') AS relationships FROM lifted GROUP BY ALL)"""
 SIGNALS = "node_signal AS (SELECT 1), pk_signal AS (SELECT * FROM " + values([(s, n) for s, names in SIGNAL_PACKAGES.items() for n in names.split()]) + " AS t(signal, name))"
 SIG_JOIN = "(p.name = package OR (p.name LIKE '%/*' AND starts_with(package, left(p.name, -1))))"
 NAME_TABLE = values([(r, role_rules.name_pattern(w), x) for r, w, x in role_rules.NAME_RULES])
@@ -156,7 +157,7 @@ SQL = {
     "identifier_case_tally": f"""SELECT repo, "case", count(*) AS n FROM (SELECT repo, {CASE('s')} AS "case" FROM (SELECT repo, {STEM('path')} AS s FROM documents WHERE regexp_matches(path, {q(SCRIPTS)}) AND NOT starts_with({BASE('path')}, 'index.'))) GROUP BY ALL""",
     "dominant_case": f"""WITH c AS (SELECT repo, "case", count(*) AS n FROM (SELECT repo, {CASE('s')} AS "case" FROM (SELECT repo, {STEM('path')} AS s FROM documents WHERE regexp_matches(path, {q(SCRIPTS)}))) WHERE "case" <> 'other' GROUP BY ALL)
 SELECT repo, "case", n AS count, sum(n) OVER (PARTITION BY repo)::BIGINT AS total FROM c QUALIFY row_number() OVER (PARTITION BY repo ORDER BY n DESC, "case") = 1 AND total >= 6 AND n >= 0.4 * total""",
-    "stem_terms": f"SELECT word, n, {stem_sql('word')} AS stem FROM (SELECT word, count(*) AS n FROM (SELECT unnest({SPLIT('text')}) AS word FROM documents) WHERE regexp_matches(word, '^[a-z]{{2,30}}$') GROUP BY word)",
+    "stem_terms": f"SELECT word, n, {stem_sql('word')} AS stem FROM (SELECT word, count(*) AS n FROM (SELECT unnest({SPLIT('text')}) AS word FROM documents) WHERE regexp_matches(word, '^[a-z]{{2,}}$') GROUP BY word)",
     "path_words": f"SELECT doc_id, array_to_string({PATH_WORDS('path')}, ' ') AS words FROM documents",
     "classified_files": f"SELECT repo, {KIND} AS kind, {LANGUAGE} AS language, count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY ALL",
     "sensitive_files": f"SELECT repo, path FROM (SELECT DISTINCT repo, path, {ABOVE} AS above FROM files) WHERE {glob_sql([*file_ops.SENSITIVE, 'deploy/**', '!deploy/**/*.md'], 'path')}",
@@ -165,13 +166,13 @@ SELECT repo, "case", n AS count, sum(n) OVER (PARTITION BY repo)::BIGINT AS tota
 FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE {' OR '.join(f'regexp_matches(line, {q(rx)})' for _, rx, _ in RULES)}""",
     "languages_counted": f"SELECT {LANGUAGE} AS language, count(*) AS count FROM documents GROUP BY 1",
     "content_duplicates": "SELECT sha256(text) AS hash, count(*) AS copies, arg_min(repo, (repo, path)) AS first_repo, arg_min(path, (repo, path)) AS first_path FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "markdown_headings": r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, string_split(replace(ltrim(text, chr(65279)), chr(13) || chr(10), chr(10)), chr(10)) AS x FROM documents WHERE path LIKE '%.md' AND text IS NOT NULL)),
-f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence FROM l), o AS (SELECT *, sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY n) % 2 AS open FROM f)
-SELECT doc_id, n AS line_no, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(regexp_extract(line, '^#+\s+(.*)$', 1), '[#\s]+$', '')) AS title FROM o WHERE NOT fence AND open = 0 AND regexp_matches(line, '^#{1,6}\s+')""",
-    "markdown_links": r"SELECT doc_id, target, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\[[^\]\n]{0,120}\]\(([^)\s]{1,400})\)', 1)) AS target FROM documents WHERE path LIKE '%.md') GROUP BY ALL",
-    "json_keys": f"SELECT doc_id, array_to_string(list_sort(json_keys(text)), ',') AS keys FROM documents WHERE path LIKE '%.json' AND ltrim(text) LIKE '{{%' AND {JSON_OK}",
-    "manifests": f"SELECT repo, {DIR('path')} AS directory, text ->> '$.name' AS name, text ->> '$.version' AS version, text ->> '$.type' AS type, coalesce(text ->> '$.private', '') = 'true' AS private FROM documents WHERE regexp_matches(path, '(^|/)package[.]json$') AND {JSON_OK}",
-    "static_imports": f'WITH {IMPORTS} SELECT repo, path, n AS "at", specifier FROM im',
+    "markdown_headings": r"""WITH l AS (SELECT repo, path, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM (SELECT repo, path, string_split(replace(ltrim(text, chr(65279)), chr(13) || chr(10), chr(10)), chr(10)) AS x FROM documents WHERE path LIKE '%.md' AND text IS NOT NULL)),
+f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence FROM l), o AS (SELECT *, sum(fence::INT) OVER (PARTITION BY repo, path ORDER BY n) % 2 AS open FROM f)
+SELECT repo, path, n AS line_no, length(regexp_extract(line, '^(#+)', 1)) AS level, trim(regexp_replace(regexp_extract(line, '^#+\s+(.*)$', 1), '[#\s]+$', '')) AS title FROM o WHERE NOT fence AND open = 0 AND regexp_matches(line, '^#{1,6}\s+')""",
+    "markdown_links": r"SELECT repo, path, target, count(*) AS n FROM (SELECT repo, path, unnest(regexp_extract_all(text, '\[[^\[\]\n]*\]\(([^)\s]+)\)', 1)) AS target FROM documents WHERE path LIKE '%.md') GROUP BY ALL",
+    "json_keys": f"SELECT repo, path, array_to_string(list_sort(list_distinct(json_keys(text))), ',') AS keys FROM (SELECT repo, path, ltrim(text, chr(65279)) AS text FROM documents) WHERE {LANGUAGE} = 'json' AND ltrim(text) LIKE '{{%' AND {JSON_OK}",
+    "manifests": f"SELECT repo, {DIR('path')} AS directory, text ->> '$.name' AS name, text ->> '$.version' AS version, CASE WHEN text ->> '$.type' IN ('module', 'commonjs') THEN text ->> '$.type' END AS type, coalesce(text ->> '$.private', '') = 'true' AS private FROM documents WHERE regexp_matches(path, '(^|/)package[.]json$') AND {JSON_OK}",
+    "static_imports": f'WITH {IMPORTS} SELECT repo, path, n AS "at", specifier, syntax FROM im',
     "resolved_imports": f"WITH {RESOLVED} SELECT repo, path, specifier, kind, target, reason, confidence FROM res",
     "import_gaps": f"""WITH {RESOLVED},
 u AS (SELECT DISTINCT repo, CASE WHEN reason = 'path-escape' THEN reason WHEN regexp_matches(specifier, {q(BUILD_OUTPUT)}) THEN 'excluded-build-output' ELSE reason END AS cause, path || ' -> ' || specifier AS subject
@@ -182,7 +183,7 @@ g AS (SELECT specifier, package, builtin, array_to_string(list_filter([{', '.joi
 SELECT specifier, package, builtin, CASE WHEN specifier = 'node:worker_threads' THEN 'worker:usage' WHEN specifier LIKE 'node:%' THEN '' ELSE signals END AS signals,
   CASE WHEN package IS NULL THEN NULL WHEN builtin OR package IN {lst(INFRASTRUCTURE)} THEN 'infrastructure' WHEN package IN {lst(FRAMEWORKS)} THEN 'framework' WHEN package IN {lst(TOOLING)} THEN 'tooling' ELSE 'utility' END AS importance FROM g""",
     "module_files": f"WITH {MODULES} SELECT repo, path, module, basis, directory FROM mods",
-    "module_edges": f"WITH {EDGES} SELECT repo, source, target, files, 'imports' AS relationships, 1 + shown - 1 AS shown FROM me",
+    "module_edges": f"WITH {EDGES} SELECT repo, source, target, files, relationships, shown FROM me",
     "module_neighbours": f"""WITH {EDGES}, b AS (SELECT repo, source AS module, target AS t, NULL AS s FROM me UNION ALL SELECT repo, target, NULL, source FROM me)
 SELECT repo, module, coalesce(array_to_string(list_sort(list(DISTINCT t)), '|'), '') AS depends_on, coalesce(array_to_string(list_sort(list(DISTINCT s)), '|'), '') AS used_by FROM b GROUP BY ALL""",
     "incoming_imports": f"WITH {EDGES} SELECT repo, target AS path, count(*) AS imported FROM fe WHERE target_kind = 'file' GROUP BY ALL",
@@ -191,7 +192,7 @@ SELECT repo, name, 'runtime' AS scope, files, modules, CASE WHEN builtin OR name
   CASE WHEN builtin THEN 0.99::DOUBLE WHEN name IN {lst([*INFRASTRUCTURE, *FRAMEWORKS, *TOOLING])} THEN 0.6 ELSE 0.3 END AS confidence
 FROM (SELECT e.repo, e.target AS name, bool_or(e.kind = 'node-builtin') AS builtin, count(DISTINCT e.source) AS files, count(DISTINCT m.module) AS modules FROM fe e LEFT JOIN mods m ON m.repo = e.repo AND m.path = e.source WHERE target_kind = 'package' GROUP BY ALL)""",
     "directory_cycles": f"""WITH RECURSIVE {RESOLVED},
-g AS (SELECT DISTINCT repo, regexp_extract(path, '^([^/]*)', 1) AS a, regexp_extract(target, '^([^/]*)', 1) AS b FROM res WHERE kind = 'internal-file'), e AS (SELECT * FROM g WHERE a <> b),
+g AS (SELECT DISTINCT repo, {DIR('path')} AS a, {DIR('target')} AS b FROM res WHERE kind = 'internal-file'), e AS (SELECT * FROM g WHERE a <> b),
 r AS (SELECT repo, a, b FROM e UNION SELECT r.repo, r.a, e.b FROM r JOIN e ON e.repo = r.repo AND e.a = r.b),
 m AS (SELECT x.repo, x.a, x.b FROM r x JOIN r y ON y.repo = x.repo AND y.a = x.b AND y.b = x.a WHERE x.a <> x.b)
 SELECT repo, least(a, min(b)) AS component, a AS node FROM m GROUP BY repo, a""",
@@ -200,7 +201,7 @@ r AS (SELECT DISTINCT repo, b AS start, b AS node, 0 AS level FROM e UNION SELEC
 SELECT repo, start, node, min(level)::BIGINT AS level FROM r WHERE node <> start GROUP BY ALL""",
     "affected_modules": f"""WITH {EDGES}, own AS (SELECT DISTINCT m.repo, m.module FROM mods m JOIN documents d ON d.repo = m.repo AND d.path = m.path WHERE d.fetched_at >= TIMESTAMP '2024-06-01 00:00:00')
 SELECT repo, module, bool_or(direct) AS direct FROM (SELECT repo, module, true AS direct FROM own UNION ALL SELECT me.repo, me.source, false FROM me JOIN own ON own.repo = me.repo AND own.module = me.target) GROUP BY ALL""",
-    "edges_between": f"WITH {EDGES} SELECT repo, source, target, files, 'imports' AS relationships FROM me",
+    "edges_between": f"WITH {EDGES} SELECT repo, source, target, files, relationships FROM me",
     "longest_prefix": f"""WITH d AS (SELECT repo, {DIR('path')} AS dir FROM documents GROUP BY ALL HAVING count(*) >= 2)
 SELECT x.repo, x.path, max_by(d.dir, length(d.dir)) AS owner FROM documents x LEFT JOIN d ON d.repo = x.repo AND (d.dir = '' OR starts_with(x.path, d.dir || '/')) GROUP BY ALL""",
     "noisy_or_roles": f"WITH {IMPORTS}, {MODULES}, {ROLES} SELECT repo, module, rank, role, confidence FROM roles",
@@ -213,13 +214,13 @@ SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, round
     "first_wins": "SELECT repo, path, said FROM (SELECT repo, path, lang AS said, 0 AS p FROM documents WHERE lang IS NOT NULL UNION ALL SELECT repo, path, language, 1 FROM files WHERE language IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY p, said) = 1",
     "set_difference": "SELECT DISTINCT repo, path FROM files f WHERE NOT EXISTS (FROM documents d WHERE d.repo = f.repo AND d.path = f.path)",
     "import_statistics": f"""WITH {IMPORTS}, c AS (SELECT *, specifier LIKE '.%' AS rel, specifier LIKE '@app/%' OR specifier LIKE '~/%' AS ali FROM im),
-f AS (SELECT repo, path, count(*) FILTER (rel) AS relative, count(*) FILTER (ali) AS alias, count(*) FILTER (NOT rel AND NOT ali AND specifier NOT LIKE 'node:%') AS external, count(*) FILTER (rel AND regexp_matches(specifier, '[.](js|mjs|cjs)$')) AS explicit, min(n) FILTER (rel OR ali) AS fi, max(n) FILTER (NOT rel AND NOT ali) AS le FROM c GROUP BY ALL)
-SELECT repo, count(*) AS files, sum(relative)::BIGINT AS relative, sum(alias)::BIGINT AS alias, sum(external)::BIGINT AS external, sum(explicit)::BIGINT AS explicit, count(*) FILTER (fi IS NOT NULL AND le IS NOT NULL) AS mixed_files, count(*) FILTER (le < fi) AS external_first FROM f GROUP BY repo""",
+f AS (SELECT repo, path, count(*) FILTER (rel) AS relative, count(*) FILTER (ali) AS alias, count(*) FILTER (NOT rel AND NOT ali AND specifier NOT LIKE 'node:%') AS external, count(*) FILTER (rel AND regexp_matches(specifier, '[.](js|mjs|cjs)$')) AS explicit, count(*) FILTER (syntax = 'require') AS requires, bool_or(syntax = 'type-only') AS typed, min(n) FILTER (rel OR ali) AS fi, max(n) FILTER (NOT rel AND NOT ali) AS le FROM c GROUP BY ALL)
+SELECT repo, count(*) AS files, sum(relative)::BIGINT AS relative, sum(alias)::BIGINT AS alias, sum(external)::BIGINT AS external, sum(explicit)::BIGINT AS explicit, sum(requires)::BIGINT AS requires, count(*) FILTER (typed) AS typed_files, count(*) FILTER (fi IS NOT NULL AND le IS NOT NULL) AS mixed_files, count(*) FILTER (le < fi) AS external_first FROM f GROUP BY repo""",
     "package_managers": f"""WITH l AS (SELECT repo, list_sort(list(DISTINCT path) FILTER (path <> 'pnpm-workspace.yaml')) AS files, list(DISTINCT m) AS ms FROM documents JOIN (VALUES ('package-lock.json', 'npm'), ('npm-shrinkwrap.json', 'npm'), ('pnpm-lock.yaml', 'pnpm'), ('yarn.lock', 'yarn'), ('bun.lock', 'bun'), ('bun.lockb', 'bun'), ('pnpm-workspace.yaml', 'pnpm')) AS k(p, m) ON p = path GROUP BY repo),
 r AS (SELECT repo, split_part(text ->> '$.packageManager', '@', 1) AS declared FROM documents WHERE path = 'package.json' AND {JSON_OK})
 SELECT d.repo, CASE WHEN declared IN ('npm', 'pnpm', 'yarn', 'bun') THEN declared WHEN len(ms) = 1 THEN ms[1] ELSE 'unknown' END AS manager, coalesce(array_to_string(files, ','), '') AS lockfiles FROM (SELECT DISTINCT repo FROM documents) d LEFT JOIN l USING (repo) LEFT JOIN r USING (repo)""",
-    "parse_reuse": f"""WITH d AS (SELECT doc_id, repo, sha256(text) AS h, {LANGUAGE} AS l FROM documents WHERE text IS NOT NULL), k AS (SELECT DISTINCT h, l FROM d WHERE doc_id % 2 = 0)
-SELECT repo, count(*) FILTER (k.h IS NULL) AS fresh, count(*) FILTER (k.h IS NOT NULL) AS known FROM d LEFT JOIN k ON k.h = d.h AND k.l = d.l WHERE doc_id % 2 = 1 GROUP BY repo""",
+    "parse_reuse": f"""WITH d AS (SELECT repo, sha256(text) AS h, {LANGUAGE} AS l, coalesce(fetched_at < TIMESTAMP '2024-06-01 00:00:00', false) AS old FROM documents WHERE text IS NOT NULL), k AS (SELECT DISTINCT h, l FROM d WHERE old)
+SELECT repo, count(*) FILTER (k.h IS NULL) AS fresh, count(*) FILTER (k.h IS NOT NULL) AS known FROM d LEFT JOIN k ON k.h = d.h AND k.l = d.l WHERE NOT old GROUP BY repo""",
     "unread_targets": f"SELECT repo, {KIND} AS kind, count(*) AS files FROM (SELECT DISTINCT repo, path FROM files f WHERE NOT EXISTS (FROM documents d WHERE d.repo = f.repo AND d.path = f.path)) GROUP BY ALL",
     "bm25_search": f"""WITH {POSTINGS}, t AS (SELECT term, weight::DOUBLE AS weight FROM {_WEIGHTS} AS v(term, weight)),
 n AS (SELECT (SELECT count(*) FROM sd)::DOUBLE AS n, (SELECT sum(tf) FROM po)::DOUBLE AS total), l AS (SELECT id, sum(tf)::DOUBLE AS len FROM po GROUP BY id),
@@ -230,7 +231,7 @@ iw AS (SELECT id, unnest(list_distinct(list_concat(place, list_transform(place,
 i AS (SELECT DISTINCT iw.id, t.term, t.weight * CASE WHEN df.df IS NULL THEN 0.6::DOUBLE ELSE 0.3 END AS s FROM iw JOIN t ON iw.word = t.term OR iw.word = {stem_sql('t.term')} LEFT JOIN df ON df.term = t.term WHERE NOT EXISTS (FROM po WHERE po.id = iw.id AND po.term = t.term)),
 a AS (SELECT id, sum(s) AS s, sum(b) AS boosts, list_sort(list(term)) AS matched FROM (SELECT id, term, s, in_title::INT AS b FROM s UNION ALL SELECT id, term, s, 0 FROM i) GROUP BY id)
 SELECT id, round(a.s * pow(1.35::DOUBLE, boosts) + len(list_filter(matched, lambda m: list_contains(pw.place, m))) * 0.9::DOUBLE, 4) AS score, array_to_string(matched, ',') AS matched FROM a JOIN pw USING (id) ORDER BY score DESC, id LIMIT 20""",
-    "term_frequencies": f"WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM po WHERE regexp_matches(term, '^[a-z]{{2,40}}$') GROUP BY term",
+    "term_frequencies": f"WITH {POSTINGS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM po WHERE regexp_matches(term, '^[a-z]{{2,}}$') GROUP BY term",
     "listing_changes": """WITH r AS (SELECT DISTINCT root_id, run_id, run_no FROM scan_runs WHERE status = 'succeeded'),
 e AS (SELECT CAST(root_id AS VARCHAR) AS repo, arg_min(run_id, run_no) AS a, arg_max(run_id, run_no) AS b FROM r GROUP BY 1 HAVING a <> b),
 s AS (SELECT CAST(root_id AS VARCHAR) AS repo, run_id, regexp_replace(replace(path, chr(92), '/'), '^([.]/+)+', '') AS path, regexp_replace(lower(hash), '^sha256:', '') AS hash, size, mtime_ms, arrived_at FROM scan_state

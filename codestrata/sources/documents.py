@@ -42,7 +42,7 @@ def first_paragraph(text: str) -> str:
 def read_markdown(text: str) -> dict:
     text = text.removeprefix("\ufeff")
     heads = headings(text)
-    links = [{"text": m.group(1), "target": m.group(2), "line": n} for n, line in enumerate(text.split("\n"), 1) for m in re.finditer(r"\[([^\]]{0,120})\]\(([^)\s]{1,400})\)", line)]
+    links = [{"text": m.group(1), "target": m.group(2), "line": n} for n, line in enumerate(text.split("\n"), 1) for m in re.finditer(r"\[([^\[\]]*)\]\(([^)\s]+)\)", line)]
     inner = sorted({x["target"] for x in links if x["target"].endswith(".md") and not re.match(r"https?:", x["target"], re.I)})
     signals = ["docs:decisions"] if any(re.search("decision|architecture|adr", h["title"].lower()) for h in heads) else []
     return {"status": "ok", "signals": signals, "metadata": {"headings": heads, "title": heads[0]["title"] if heads else "", "links": links, "document_links": inner, "front_matter": front_matter(text)[0], "first_paragraph": first_paragraph(text), "line_count": text.count("\n") + 1}}

@@ -15,12 +15,13 @@ CONTEXTUAL = frozenset("abstract accessor any as assert asserts async await bool
 _space = re.compile(r"(?:[ \t\v\f\xa0﻿  -   　]+|//[^\n\r  ]*)+")
 _break = re.compile(r"[\n\r  ]\s*")
 _main = re.compile(
-    r"(?P<id>[A-Za-z_$\\\xaa\xb5\xba\xc0-῿‌‍Ⰰ-⿯、-﻾\U00010000-\U000e01ef][\w$\\‌‍]*)"
+    r"[ \t]*(?:(?P<id>[A-Za-z_$\\\xaa\xb5\xba\xc0-῿‌‍Ⰰ-⿯、-﻾\U00010000-\U000e01ef][\w$\\‌‍]*)"
     r"|(?P<str>\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')"
     r"|(?P<num>(?:0[xX][\da-fA-F](?:_?[\da-fA-F])*n?|0[bB][01](?:_?[01])*n?|0[oO][0-7](?:_?[0-7])*n?|(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?n?)(?![\w$]))"
     r"|(?P<op>\.\.\.|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|=>|==|!=|<=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|%=|&=|\|=|\^=|\*\*|<<|[{}()\[\];,<>+\-*%&|^!~?:=.@])"
-    r"|(?P<priv>\#[A-Za-z_$\xaa-￿][\w$‌‍]*)"
+    r"|(?P<priv>\#[A-Za-z_$\xaa-￿][\w$‌‍]*))"
 )
+_known = RESERVED | CONTEXTUAL
 _comment = re.compile(r"/\*(?:[^*]|\*(?!/))*\*/")
 _regex = re.compile(r"/(?![*/])(?:[^\n\r/\\\[]|\\[^\n\r]|\[(?:[^\n\r\]\\]|\\[^\n\r])*\])+/[A-Za-z]*")
 _template = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(`|\$\{)?")
@@ -139,14 +140,15 @@ def _run(text: str, at: int, jsx: bool, out: Tokens, nested: bool) -> int:
                 raise Unlexable(at)
         else:
             kind = m.lastgroup
-            end = m.end()
+            start, end = m.span(kind)
+            if start != at:
+                at, close = start, False
             if kind == "id":
-                word = m.group()
-                if word in RESERVED or word in CONTEXTUAL:
-                    # after a dot any word is a plain name
-                    kind = "id" if kinds and kinds[-1] in (".", "?.") and len(kinds) > first else word
+                word = m[kind]
+                if word in _known and not (kinds and kinds[-1] in (".", "?.") and len(kinds) > first):  # after a dot any word is a plain name
+                    kind = word
             elif kind == "op":
-                kind = m.group()
+                kind = m[kind]
                 if kind == "{":
                     depth += 1
                 elif kind == "}":

@@ -97,7 +97,40 @@ def test_a_step_that_dies_leaves_no_trace(spark, rows, tmp_path, monkeypatch):
         log._publish({**entry, "n": 1})  # another step was first
 
 
+def test_ties_late_rows_and_rows_without_a_time(spark, rows, tmp_path):
+    """What becomes visible at or below the watermark is handled by the next step."""
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    r = [(1, 1, 1, "succeeded", "c", "1", T0, "x"), (2, 1, 2, "succeeded", "c", "1", T0, "x")]
+    s = [(1, "a", "aa", T0, 1, "y"), (2, "a", "aa", T0, 1, "y")]
+    frame = lambda: (spark.createDataFrame(r, RUNS), spark.createDataFrame(s, STATE))
+    log.step(*frame())
+    for more in ((2, "b", "bb", T0, 1, "y"), (2, "c", "cc", None, 1, "y"), (1, "b", "bb", T0 - timedelta(days=9), 1, "y"), (2, "a", "ab", T0 + timedelta(days=1), 1, "y"), (1, "b", "bb", T0 - timedelta(days=9), 1, "y")):
+        s.append(more)
+        assert log.step(*frame()) is not None and log.step(*frame()) is None
+        assert set(rows(log.cases(), "run_id", "path")) == brute(r, s) and log.cases().count() == len(brute(r, s))
+    s.pop(0)  # a row that is taken back
+    log.step(*frame())
+    assert set(rows(log.cases(), "run_id", "path")) == brute(r, s)
+
+
+def test_plans_are_bounded(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(ChangeLog, "COMPACT", 2)
+    r, s = made(5, roots=2, runs=4)
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    sizes = []
+    for hours in (2, 4, 6, 7, 200):
+        log.step(spark.createDataFrame(r, RUNS), spark.createDataFrame(s, STATE), T0 + timedelta(hours=hours))
+        sizes.append(len(log.last()["outputs"]))
+    assert max(sizes) == 2 and 1 in sizes[1:] and len(log.commits()) == 5
+    assert set(rows(log.cases(), "run_id", "path")) == brute(r, s)
+
+
 def test_empty_tables(spark):
     runs, state = spark.createDataFrame([], RUNS), spark.createDataFrame([], STATE)
     assert upper_limit(runs, state) is None
     assert changed_records(runs, state)[0].count() == 0
+
+
+def test_empty_log(spark, tmp_path):
+    log = ChangeLog(spark, str(tmp_path / "log"))
+    assert log.step(spark.createDataFrame([], RUNS), spark.createDataFrame([], STATE)) is None and log.cases().count() == 0
