@@ -61,14 +61,21 @@ _json_note = re.compile(r"(?:[ \t\r\n]|//[^\n\r]*|/\*[\s\S]*?\*/)*:")
 # Lexing
 
 
+class Numbers(dict):
+    """Numbers of token kinds; 0 for others."""
+
+    def __missing__(self, kind: str) -> int:
+        return 0
+
+
 @lru_cache(8)
 def numbers(family: int) -> tuple[dict[str, int], np.ndarray]:
     """Numbers of a family's token kinds, and by number that of the kind by which its pairs are known; 0 is none."""
     terms = sorted({k for p in permitted(GRAMMAR[family]) for k in p})
-    of = {k: n for n, k in enumerate(terms, 1)}
+    of = Numbers({k: n for n, k in enumerate(terms, 1)})
     if family != 1:
         return of, np.arange(len(of) + 1)
-    kinds = {**of, **{k: n for n, k in enumerate(sorted((NAMES | ASSIGN | RESERVED | CONTEXTUAL | set("|| && ?? ^ == != === !== <= << / % **".split())) - set(of)), len(of) + 1)}}
+    kinds = Numbers({**of, **{k: n for n, k in enumerate(sorted((NAMES | ASSIGN | RESERVED | CONTEXTUAL | set("|| && ?? ^ == != === !== <= << / % **".split())) - set(of)), len(of) + 1)}})
     by = np.arange(len(kinds) + 1)
     for k, n in kinds.items():
         if k in of and k not in ASSIGN:
@@ -193,8 +200,9 @@ def token_rows(family: int, kinds: np.ndarray) -> np.ndarray:
     return depth << DEPTH | roles[kinds] << ROLE | family << 16 | before << 8 | code
 
 
-def lexed_text(path: str | None, text: str | None) -> tuple:
-    """(language, tokens, their lines, windows, their first lines, line of what is no token or None)."""
+def lexed_text(path: str | None, text: str | None, placed: bool = True) -> tuple:
+    """(language, tokens, their lines, windows, their first lines, line of what is no token or None); lines of tokens
+    only if ``placed``."""
     name = (path or "").rpartition("/")[2]
     suffix = name.rpartition(".")[2] if "." in (path or "") else ""
     language = LANGUAGES.get(suffix)
@@ -206,8 +214,8 @@ def lexed_text(path: str | None, text: str | None) -> tuple:
     windows, begins = [], []
     if family == 4:
         kinds, lines, bad, sources = lex_python(text)
-        codes = np.fromiter((of.get(k, 0) for k in kinds), np.int64, len(kinds))
-        lines = np.asarray(lines, np.int64)
+        codes = np.fromiter(map(of.__getitem__, kinds), np.int64, len(kinds))
+        lines = np.asarray(lines, np.int64) if placed else none
         windows = [b"\x04" + s.encode("utf-8", "surrogatepass") for s in sources]
         begins = list(np.cumsum([1, *(s.count("\n") for s in sources[:-1])])) if sources else []
         return language, token_rows(family, codes), lines, windows, begins, None if bad < 0 else bad
@@ -218,24 +226,26 @@ def lexed_text(path: str | None, text: str | None) -> tuple:
         kinds, places, bad = lex_json(text, name.startswith("tsconfig"))
     else:
         kinds, places, bad = scan(text)
-    codes = np.fromiter((of.get(k, 0) for k in kinds), np.int64, len(kinds))
-    ends = np.fromiter((m.start() for m in re.finditer("\n", text)), np.int64)
-    lines = np.searchsorted(ends, np.asarray(places, np.int64), side="left") + 1
+    codes = np.fromiter(map(of.__getitem__, kinds), np.int64, len(kinds))
+    lines = none
+    if placed:
+        ends = np.fromiter((m.start() for m in re.finditer("\n", text)), np.int64)
+        lines = np.searchsorted(ends, np.asarray(places, np.int64), side="left") + 1
     rows = token_rows(family, codes)
     if family == 1 and bad < 0:
         at, windows = statements(codes, np.array(tokens.lines), np.array(tokens.near), rows >> DEPTH, 1 | (language == "typescript") << 3)
-        begins = lines[at[: len(windows)]].tolist()
-    return language, rows, lines, windows, begins, None if bad < 0 else int(np.searchsorted(ends, bad, side="left") + 1)
+        begins = lines[at[: len(windows)]].tolist() if placed else [0] * len(windows)
+    return language, rows, lines, windows, begins, None if bad < 0 else text.count("\n", 0, bad) + 1
 
 
-def lexed(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+def lexed(documents: DataFrame, key: str = "doc_id", placed: bool = True) -> DataFrame:
     """``key, repo, language, tokens, lines, windows, begins, bad`` of each file, in one narrow stage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = batch.column(2).to_pylist()
             for first, texts in chunks(batch.column(3)):
-                out = [lexed_text(p, t) for p, t in zip(paths[first : first + len(texts)], texts)]
+                out = [lexed_text(p, t, placed) for p, t in zip(paths[first : first + len(texts)], texts)]
                 part = batch.slice(first, len(texts))
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(o[n]) for o in out])]), pa.int32()), pa.array(np.concatenate([o[n] for o in out]), t)) for n, t in ((1, pa.int64()), (2, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([o[0] for o in out], pa.string()), *lists, pa.array([o[3] for o in out], pa.list_(pa.binary())), pa.array([o[4] for o in out], pa.list_(pa.int32())), pa.array([o[5] for o in out], pa.int32())], names=[key, "repo", "language", "tokens", "lines", "windows", "begins", "bad"])
@@ -335,7 +345,7 @@ def odd_windows(windows: DataFrame) -> DataFrame:
 def unparsable(documents: DataFrame, only_broken: bool = False, key: str = "doc_id", pairs: DataFrame | None = None) -> DataFrame:
     """``key, repo, language, broken, what, line_no`` of each file: whether the grammar of the language of its
     name rejects it, at which of the tests (token, pair, nesting, production) and about where (of a production the
-    line on which the statement begins). ``pairs``: a table of permitted pairs instead of ``pair_table``.
+    line on which the statement begins). ``only_broken``: without the others, and without places. ``pairs``: a table of permitted pairs instead of ``pair_table``.
 
     The language is null for names without one of the known extensions, and such files, as null, empty and
     blank texts, are never broken. Null path: no language. Repeated rows are judged each, further columns are
@@ -345,7 +355,7 @@ def unparsable(documents: DataFrame, only_broken: bool = False, key: str = "doc_
     where they are read; brackets are shuffled by (document, depth), distinct windows and the documents' windows by
     the window, so that a statement that many documents share is reduced once; AQE splits it in the join."""
     spark = documents.sparkSession
-    rows = stored(lexed(documents, key).withColumn("row", F.monotonically_increasing_id()))
+    rows = stored(lexed(documents, key, not only_broken).withColumn("row", F.monotonically_increasing_id()))
     one = rows.filter("bad IS NULL").select("row", F.posexplode("tokens").alias("position", "t"))
     tokens = one.select("row", "position", F.shiftright("t", DEPTH).alias("depth"), F.shiftright("t", ROLE).bitwiseAND(3).alias("role"), F.col("t").bitwiseAND(PAIR).alias("pair"))
     windows = rows.filter("bad IS NULL").select("row", F.explode(F.arrays_zip("windows", "begins")).alias("w")).select("row", F.col("w.windows").alias("window"), F.col("w.begins").alias("line"))
@@ -358,9 +368,9 @@ def unparsable(documents: DataFrame, only_broken: bool = False, key: str = "doc_
     )
     first = found.groupBy("row").agg(F.min("f").alias("f"))
     out = rows.select("row", key, "repo", "language", *([] if only_broken else ["lines"])).join(first, "row", "inner" if only_broken else "left")
-    line = F.when(F.col("f.order").isin(0, 3), F.col("f.at"))
+    line = F.lit(None).cast("int")
     if not only_broken:
-        line = F.coalesce(line, F.element_at("lines", F.col("f.at") + 1))
+        line = F.when(F.col("f.order").isin(0, 3), F.col("f.at")).otherwise(F.element_at("lines", F.col("f.at") + 1))
     return out.select(key, "repo", "language", F.col("f").isNotNull().alias("broken"), F.col("f.what").alias("what"), line.alias("line_no"))
 
 
