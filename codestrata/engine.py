@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import __version__
 from .config import Config, Policy
 from .errors import AnalysisError, ReadOnlyError, StateError
+from .functions import paths as P
 from .functions.words import query_weights
 from .operators import activity, context, conventions, decisions, diff, entry_points, graph, issues, modules, resolution, rules, search, workspace
 from .operators import files as file_ops
@@ -19,6 +20,7 @@ from .sources.git_history import Git, parse_diff, read_history
 from .sources.repo_files import read_tree
 from .sources.store import SCHEMA_VERSION, Store, canonical
 
+FACTS_KEY = ("hash", "reader")
 STORED = ("files", "modules", "roles", "entry_points", "module_edges", "externals", "conventions", "decisions", "cycles", "issues")
 
 
@@ -56,9 +58,38 @@ class Engine:
         c = self.config
         return cut(read_tree(self.spark, self.sources, include=c.include, exclude=c.exclude, ignore=c.ignore, extraSensitive=c.extra_sensitive, allowSensitive=c.allow_sensitive, largest=c.largest, followSymlinks=c.follow_symlinks))
 
+    @cached_property
+    def _cache(self) -> DataFrame | None:
+        """Facts of the stored scan, by content, if readers and settings are the same."""
+        now = self.store.current() if self.store else None
+        return self.store.read("facts_cache") if now and now.get("readers") == self._readers() else None
+
+    def _readers(self) -> str:
+        return f"{__version__} {self.config.languages} {self.registry.__module__}.{self.registry.__qualname__}"
+
+    @cached_property
+    def contents(self) -> DataFrame:
+        """``repo, path, hash, reader`` of the texts; equal ones with the same reader have the same facts."""
+        reader = F.concat_ws(":", file_ops.language_of(F.col("path")), F.lower(P.extname(F.col("path"))))
+        return cut(self.sources_table.filter("text IS NOT NULL").select("repo", "path", F.sha2("text", 256).alias("hash"), reader.alias("reader")))
+
+    @cached_property
+    def to_read(self) -> DataFrame:
+        """``repo, path`` of the files whose content the stored facts don't know."""
+        if self._cache is None:
+            return self.contents.select("repo", "path")
+        return file_ops.to_parse(self.contents, self._cache, FACTS_KEY)[0].select("repo", "path")
+
     @cached_property
     def facts(self) -> DataFrame:
-        return cut(read_facts(self.sources_table.filter("text IS NOT NULL"), self.config.languages, self.registry))
+        """Stored facts where the content is known, else the readers'. Texts stay where they are if few are new, for then
+        AQE sends the paths of those to them."""
+        texts = self.sources_table.filter("text IS NOT NULL")
+        if self._cache is None:
+            return cut(read_facts(texts, self.config.languages, self.registry))
+        fresh = read_facts(texts.join(self.to_read.distinct(), ["repo", "path"], "left_semi"), self.config.languages, self.registry)
+        _, known = file_ops.to_parse(self.contents, self._cache, FACTS_KEY)
+        return cut(fresh.unionByName(known.filter("status IS NOT NULL").select(fresh.columns)))  # no status: no reader
 
     @cached_property
     def files(self) -> DataFrame:
@@ -283,8 +314,9 @@ class Engine:
         return self.files.select("repo", "path", "hash", "size", "mtime_ms", "language", "kind", (F.col("sensitive") | F.col("too_large")).alias("blocked"))
 
     def changes(self) -> DataFrame:
-        old = self.store.read("state") if self.store else None
-        if old is None or self.store.get_text("config_hash") != self.config.hash(__version__):
+        now = self.store.current() if self.store else None
+        old = self.store.read("state") if now and now.get("config_hash") == self.config.hash(__version__) else None
+        if old is None:
             old = self.state().limit(0)
         return file_ops.changes(old, self.state())
 
@@ -305,16 +337,16 @@ class Engine:
         if dry_run:
             return report
         store = self._write()
+        store.begin()
         for name in STORED:
             store.write(name, getattr(self, name))
             report["stored"].append(name)
-        c = self.facts.join(self.files.select("repo", "path", "hash"), ["repo", "path"]).filter("hash <> ''").dropDuplicates(["hash", "language"]).drop("repo", "path")
-        store.write_facts(c)
+        store.write_facts(self.contents.join(self.facts, ["repo", "path"], "left").dropDuplicates(list(FACTS_KEY)).drop("repo", "path"))
         store.write("state", self.state())
-        store.put_text("config_hash", self.config.hash(__version__))
-        store.put_text("index.json", canonical({"schema_version": SCHEMA_VERSION, "tables": sorted(STORED)}))
+        store.write_text("index.json", canonical({"schema_version": SCHEMA_VERSION, "tables": sorted(STORED)}))
         for r in conventions.markdown(self.conventions).collect() if self.files.select("repo").distinct().count() == 1 else []:
-            store.put_text("conventions.md", r["text"])
+            store.write_text("conventions.md", r["text"])
+        store.commit(config_hash=self.config.hash(__version__), readers=self._readers(), tables=sorted(STORED))
         return report
 
     def init(self, force: bool = False) -> bool:
@@ -323,7 +355,7 @@ class Engine:
         from dataclasses import asdict
 
         store = self._write()
-        if store.exists("config.json") and not force:
+        if store.get_text("config.json") is not None and not force:
             return False
         store.put_text("config.json", canonical(json.loads(json.dumps(asdict(self.config)))))
         return True

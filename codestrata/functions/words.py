@@ -6,51 +6,54 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that queries leave out.
-STOP_WORDS = "a an and are as at be but by for from how in into is it its of on or that the their then there these this to was were what when where which who why will with".split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "how", "in", "into", "is", "it", "its", "of", "on", "or", "that", "the",
+    "their", "then", "there", "these", "this", "to", "was", "were", "what", "when", "where", "which", "who", "why", "will", "with",
+]
 
 # Related words of a query word.
 SYNONYMS = {
-    "auth": "authentication authorization login token",
-    "authentication": "auth login token",
-    "authorization": "auth permission policy acl",
-    "payment": "payments billing charge invoice stripe checkout",
-    "payments": "payment billing charge invoice stripe",
-    "billing": "payment invoice subscription",
-    "user": "users account profile identity",
-    "users": "user account identity",
-    "db": "database repository persistence sql query",
-    "database": "db repository persistence sql migration",
-    "repository": "db database persistence store",
-    "api": "endpoint route controller http rest",
-    "endpoint": "api route controller",
-    "route": "api endpoint router controller",
-    "event": "events bus publisher subscriber message domain-event",
-    "events": "event bus messaging publisher",
-    "queue": "job worker consumer producer broker",
-    "job": "queue worker cron scheduler",
-    "worker": "job queue background",
-    "cache": "caching redis memo",
-    "config": "configuration settings env environment",
-    "configuration": "config settings env",
-    "error": "errors exception failure",
-    "test": "tests spec testing",
-    "tests": "test spec suite",
-    "build": "compile bundler toolchain",
-    "cli": "command bin argument",
-    "log": "logging logger telemetry",
-    "logging": "log logger",
-    "security": "auth secret credential permission",
-    "idempotent": "idempotency retry duplicate",
-    "idempotency": "idempotent retry duplicate",
-    "invariant": "invariants constraint must never",
-    "invariant_s": "invariants constraint",
-    "style": "convention format lint",
-    "convention": "conventions style rule pattern",
-    "architecture": "structure layer module design",
-    "module": "package component service",
-    "dependency": "dependencies import requires",
-    "contract": "interface port boundary",
-    "boundary": "contract interface port",
+    "auth": ["authentication", "authorization", "login", "token"],
+    "authentication": ["auth", "login", "token"],
+    "authorization": ["auth", "permission", "policy", "acl"],
+    "payment": ["payments", "billing", "charge", "invoice", "stripe", "checkout"],
+    "payments": ["payment", "billing", "charge", "invoice", "stripe"],
+    "billing": ["payment", "invoice", "subscription"],
+    "user": ["users", "account", "profile", "identity"],
+    "users": ["user", "account", "identity"],
+    "db": ["database", "repository", "persistence", "sql", "query"],
+    "database": ["db", "repository", "persistence", "sql", "migration"],
+    "repository": ["db", "database", "persistence", "store"],
+    "api": ["endpoint", "route", "controller", "http", "rest"],
+    "endpoint": ["api", "route", "controller"],
+    "route": ["api", "endpoint", "router", "controller"],
+    "event": ["events", "bus", "publisher", "subscriber", "message", "domain-event"],
+    "events": ["event", "bus", "messaging", "publisher"],
+    "queue": ["job", "worker", "consumer", "producer", "broker"],
+    "job": ["queue", "worker", "cron", "scheduler"],
+    "worker": ["job", "queue", "background"],
+    "cache": ["caching", "redis", "memo"],
+    "config": ["configuration", "settings", "env", "environment"],
+    "configuration": ["config", "settings", "env"],
+    "error": ["errors", "exception", "failure"],
+    "test": ["tests", "spec", "testing"],
+    "tests": ["test", "spec", "suite"],
+    "build": ["compile", "bundler", "toolchain"],
+    "cli": ["command", "bin", "argument"],
+    "log": ["logging", "logger", "telemetry"],
+    "logging": ["log", "logger"],
+    "security": ["auth", "secret", "credential", "permission"],
+    "idempotent": ["idempotency", "retry", "duplicate"],
+    "idempotency": ["idempotent", "retry", "duplicate"],
+    "invariant": ["invariants", "constraint", "must", "never"],
+    "invariant_s": ["invariants", "constraint"],
+    "style": ["convention", "format", "lint"],
+    "convention": ["conventions", "style", "rule", "pattern"],
+    "architecture": ["structure", "layer", "module", "design"],
+    "module": ["package", "component", "service"],
+    "dependency": ["dependencies", "import", "requires"],
+    "contract": ["interface", "port", "boundary"],
+    "boundary": ["contract", "interface", "port"],
 }
 SYNONYM_WEIGHT = 0.45
 #: White space of Unicode, written so that Java and RE2 read it alike.
@@ -122,7 +125,7 @@ def query_weights(text: str) -> dict[str, float]:
     weights: dict[str, float] = {}
     for t in terms(text, False):
         weights[t] = 1.0
-        for related in (SYNONYMS.get(t) or SYNONYMS.get(cut(t)) or "").split():
+        for related in SYNONYMS.get(t) or SYNONYMS.get(cut(t)) or []:
             for r in terms(related, True):
                 weights[r] = max(weights.get(r, 0.0), SYNONYM_WEIGHT)
     return weights

@@ -72,12 +72,12 @@ def changes(previous: DataFrame, current: DataFrame) -> DataFrame:
     return p.join(c, ["repo", "path"], "full_outer").select("repo", "path", kind.alias("change"))
 
 
-def to_parse(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+def to_parse(files: DataFrame, cache: DataFrame, by: tuple[str, ...] = ("hash", "language")) -> tuple[DataFrame, DataFrame]:
     """(files whose content no cached facts exist for, files with cached facts), by content and reader.
 
-    ``files``: repo, path, hash, language. ``cache``: hash, language, …; several files may share an entry, which
-    carries no path."""
-    key = ["hash", "language"]
+    ``files``: repo, path and the columns of ``by``. ``cache``: those of ``by``, …; several files may share an entry,
+    which carries no path."""
+    key = list(by)
     known = cache.select(*key).distinct()
     return files.join(known, key, "left_anti"), files.join(cache.dropDuplicates(key), key)
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, stored
 
 
 def reachable(edges: DataFrame, starts: DataFrame, levels: int, reverse: bool = False) -> DataFrame:
@@ -29,50 +29,60 @@ def reachable(edges: DataFrame, starts: DataFrame, levels: int, reverse: bool =
     return seen.filter("level > 0")
 
 
-def cycles(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """``repo, component, node``: strongly connected components of more than one node, named by their least node.
 
-    Nodes without a way in or out are trimmed away; then every node takes the greatest name that reaches it
-    (colours), and what reaches a colour's own node within the colour is a component. Edges between colours and
-    those of finished components are dropped, and the rest goes round again. Each step is a join over the edges
-    that are left; no node's neighbourhood is gathered."""
-    left = cut(edges.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").select("repo", "source", "target").distinct())
+    Each round every node learns the least name that reaches it forwards (``a``) and backwards (``b``). A node for which
+    both are the same name is in that name's component. Nodes with another pair of names can't share a component, so
+    edges between nodes whose pairs differ are dropped, with those of finished components, and the rest goes round
+    again, until no edge is left. At least one component of each connected part is finished in each round, and parts
+    run side by side. Names are ordered by a hash, as if drawn at random, so that the least one of a stretch of a path
+    is anywhere in it and what a node knows grows by a factor a step (see ``_least``): a chain of n nodes takes some
+    log n steps, not n. Each step is a join over the nodes and edges that are left; no node's neighbourhood is gathered.
+
+    Null ends and loops are left out, repeated edges count once; an empty table has no components."""
+    ranked = lambda c: F.concat(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.col(c)).alias(c)
+    left = stored(edges.filter("source IS NOT NULL AND target IS NOT NULL AND source <> target").select("repo", ranked("source"), ranked("target")).distinct())
     parts: list[DataFrame] = []
-    for _ in range(rounds):
-        while True:  # trim
-            n = left.count()
-            kept = left.join(left.select("repo", F.col("target").alias("source")).distinct(), ["repo", "source"], "left_semi").join(left.select("repo", F.col("source").alias("target")).distinct(), ["repo", "target"], "left_semi").select("repo", "source", "target")
-            left = cut(kept)
-            if left.count() == n:
-                break
-        if not n:
+    while not left.isEmpty():
+        left = _trimmed(left)
+        if left.isEmpty():
             break
-        colour = cut(left.select("repo", F.col("source").alias("node")).distinct().withColumn("colour", F.col("node")))
-        while True:
-            sent = left.join(colour.withColumnRenamed("node", "source"), ["repo", "source"]).select("repo", F.col("target").alias("node"), "colour")
-            new = cut(colour.unionByName(sent).groupBy("repo", "node").agg(F.max("colour").alias("colour")))
-            moved = new.join(colour.withColumnRenamed("colour", "old"), ["repo", "node"]).filter("colour <> old")
-            colour = new
-            if moved.isEmpty():
-                break
-        c = colour
-        same = cut(left.join(c.withColumnsRenamed({"node": "source", "colour": "a"}), ["repo", "source"]).join(c.withColumnsRenamed({"node": "target", "colour": "b"}), ["repo", "target"]).filter("a = b").select("repo", "source", "target", F.col("a").alias("colour")))
-        back = same.select("repo", F.col("target").alias("node"), "colour", F.col("source").alias("next"))
-        member = cut(c.filter("node = colour"))
-        front = member
-        while True:
-            step = cut(front.join(back, ["repo", "node", "colour"]).select("repo", F.col("next").alias("node"), "colour").distinct().join(member, ["repo", "node"], "left_anti"))
-            if step.isEmpty():
-                break
-            member, front = cut(member.unionByName(step)), step
-        parts.append(member)
-        done = member.select("repo", "node")
-        left = cut(same.select("repo", "source", "target").join(done.withColumnRenamed("node", "source"), ["repo", "source"], "left_anti").join(done.withColumnRenamed("node", "target"), ["repo", "target"], "left_anti"))
+        a, b = _least(left), _least(left.select("repo", F.col("target").alias("source"), F.col("source").alias("target")))
+        names = stored(a.withColumnRenamed("name", "a").join(b.withColumnRenamed("name", "b"), ["repo", "node"]))
+        parts.append(names.filter("a = b").select("repo", F.col("a").alias("component"), "node"))
+        open_ = names.filter("a <> b")
+        ends = lambda c, x, y: open_.select("repo", F.col("node").alias(c), F.col("a").alias(x), F.col("b").alias(y))  # noqa: B023, E731
+        left = stored(left.join(ends("source", "a", "b"), ["repo", "source"]).join(ends("target", "c", "d"), ["repo", "target"]).filter("a = c AND b = d").select("repo", "source", "target"))
     if not parts:
         return edges.sparkSession.createDataFrame([], "repo string, component string, node string")
-    found = reduce(DataFrame.unionByName, parts)
-    size = found.groupBy("repo", "colour").agg(F.count("*").alias("n"), F.min("node").alias("component")).filter("n > 1")
-    return found.join(size, ["repo", "colour"]).select("repo", "component", "node")
+    found = reduce(DataFrame.unionByName, parts).withColumn("node", F.substr("node", F.lit(17)))
+    size = found.groupBy("repo", "component").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    return found.join(size, ["repo", "component"]).select("repo", F.col("least").alias("component"), "node")
+
+
+def _trimmed(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """The edges without some that are in no cycle: those of nodes without a way in or out. Only to have less to do."""
+    for _ in range(rounds):
+        into, out = edges.select("repo", F.col("target").alias("source")).distinct(), edges.select("repo", F.col("source").alias("target")).distinct()
+        edges = edges.join(into, ["repo", "source"], "left_semi").join(out, ["repo", "target"], "left_semi").select("repo", "source", "target")
+    return stored(edges)
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """``repo, node, name``: the least node from which a path leads to the node, itself included. Each node keeps one
+    pointer, to the least node known to reach it; a step takes the pointers of the nodes before it and the pointer of
+    the node that its own pointer names, so that what is known spreads along edges and jumps along pointers."""
+    nodes = edges.select("repo", F.col("source").alias("node")).union(edges.select("repo", "target")).distinct()
+    known = stored(nodes.withColumn("name", F.col("node")))
+    while True:
+        sent = edges.join(known.withColumnRenamed("node", "source"), ["repo", "source"]).select("repo", F.col("target").alias("node"), "name")
+        jump = known.join(known.select("repo", F.col("node").alias("name"), F.col("name").alias("far")), ["repo", "name"]).select("repo", "node", F.col("far").alias("name"))
+        new = stored(known.unionByName(sent).unionByName(jump).groupBy("repo", "node").agg(F.min("name").alias("name")))
+        moved = new.join(known.withColumnRenamed("name", "old"), ["repo", "node"]).filter("name <> old")
+        known = new
+        if moved.isEmpty():
+            return known
 
 
 def between(edges: DataFrame, pairs: DataFrame, modules: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ def module_edges(edges: DataFrame, modules: DataFrame) -> DataFrame:
     item = F.struct(F.col("source").alias("file"), "specifier", F.col("evidence").alias("detail"))
     ranked = to.withColumn("n", F.row_number().over(W.partitionBy("repo", "from", "to").orderBy("source", "specifier", "evidence", "relationship")))
     out = ranked.withColumn("item", item).groupBy("repo", "from", "to").agg(F.count_distinct("source").alias("files"), F.array_sort(F.collect_set("relationship")).alias("relationships"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.collect_list(F.when(F.col("n") <= 4, F.col("item")))).alias("e"))
-    head = F.struct(F.col("from").alias("source"), F.concat(F.col("files").cast("string"), F.lit(" file(s) import "), F.col("to")).alias("detail"))
+    head = F.struct(F.col("from").alias("source"), F.concat(F.col("files").cast("string"), F.lit(" files use "), F.col("to")).alias("detail"))
     evidence = F.concat(F.array(head), F.transform("e", lambda x: F.struct(x["file"].alias("source"), x["detail"].alias("detail"))))
     return out.select("repo", F.col("from").alias("source"), F.col("to").alias("target"), "files", "relationships", "kinds", evidence.alias("evidence"))
 

@@ -93,16 +93,16 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame, packages:
     level = F.when(F.col("kind") == "internal-file", F.when(is_rel, 0.99).otherwise(0.95)).when(F.col("kind") == "workspace-package", 0.97).when(F.col("kind") == "node-builtin", 0.99).when(F.col("kind") == "external-package", 0.96).otherwise(0.3)
     here = P.dirname(F.col("path"))
     evidence = (
-        F.when((F.col("kind") == "internal-file") & is_rel & (here == P.dirname(F.col("hit.path"))), F.concat(F.lit("relative import inside "), F.when(here == "", "<repository root>").otherwise(here)))
-        .when((F.col("kind") == "internal-file") & is_rel, F.concat(F.lit("relative import resolved to "), F.col("hit.path")))
-        .when(F.col("kind") == "internal-file", F.concat(F.lit('alias "'), F.col("alias"), F.lit('" declared in '), F.col("alias_source"), F.lit(" resolved to "), F.col("hit.path")))
-        .when(F.col("kind") == "workspace-package", F.concat(F.lit('specifier resolves to workspace package "'), F.col("name"), F.lit('" ('), F.col("directory"), F.lit(")")))
+        F.when((F.col("kind") == "internal-file") & is_rel & (here == P.dirname(F.col("hit.path"))), F.concat(F.lit("same directory: "), F.when(here == "", "the root").otherwise(here)))
+        .when((F.col("kind") == "internal-file") & is_rel, F.concat(F.lit("by relative path: "), F.col("hit.path")))
+        .when(F.col("kind") == "internal-file", F.concat(F.lit('by the alias "'), F.col("alias"), F.lit('" of '), F.col("alias_source"), F.lit(": "), F.col("hit.path")))
+        .when(F.col("kind") == "workspace-package", F.concat(F.lit('workspace package "'), F.col("name"), F.lit('" ('), F.col("directory"), F.lit(")")))
         .when(F.col("kind") == "node-builtin", "specifier is a Node.js built-in module")
         .when(F.col("kind") == "external-package", "specifier is an external package dependency")
-        .when(F.col("reason") == "path-escape", F.concat(F.lit('relative specifier "'), F.col("specifier"), F.lit('" resolves outside the repository root')))
-        .when(F.col("reason") == "excluded-file", F.concat(F.lit('"'), F.col("hit.path"), F.lit('" exists but was excluded from the analysis: '), F.col("hit.why")))
-        .when(F.col("reason") == "unresolved-alias", F.concat(F.lit('alias "'), F.col("alias"), F.lit('" declared in '), F.col("alias_source"), F.lit(" did not resolve to an analyzed file")))
-        .when(is_rel, F.concat(F.lit('no analyzed file matched "'), F.col("rel_base"), F.lit('" with a known extension or index file')))
+        .when(F.col("reason") == "path-escape", F.concat(F.lit('"'), F.col("specifier"), F.lit('" leads out of the repository')))
+        .when(F.col("reason") == "excluded-file", F.concat(F.lit('"'), F.col("hit.path"), F.lit('" is there but not read: '), F.col("hit.why")))
+        .when(F.col("reason") == "unresolved-alias", F.concat(F.lit('by the alias "'), F.col("alias"), F.lit('" of '), F.col("alias_source"), F.lit(": no such file")))
+        .when(is_rel, F.concat(F.lit('neither a file nor an index file at "'), F.col("rel_base"), F.lit('"')))
         .otherwise("specifier is neither relative, aliased, nor a package name")
     )
     return rows.withColumn("kind", kind).withColumn("reason", reason).select(*key, "kind", target.alias("target"), F.when(F.col("kind") == "workspace-package", F.col("entry")).alias("entry"), level.alias("confidence"), "reason", evidence.alias("evidence"))

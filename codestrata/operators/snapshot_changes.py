@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
 from .changed_records import final_runs
 
 
@@ -95,10 +96,14 @@ def snapshot_changes(runs: DataFrame, records: DataFrame, per_leaf: int = 16, mo
     own. A record that a snapshot has more than once: the latest delivery holds, equal ones by the greater
     digest. A root's first snapshot gives nothing; empty tables give nothing; further columns are ignored.
 
-    Plan: records are shuffled by run to find their snapshot's place, then once by (root, hash range).
-    Digests of ranges, their comparison with the records and the comparison of records all run inside that
-    partitioning; inner nodes are built from digests of ranges. A root with a third of all records is spread
-    over up to ``2 ** most_bits`` ranges; a run with a third of them is split by AQE in the join."""
+    The hashes in ``scan_runs.canonical`` aren't asked: they are missing or stale at times, so that equal ones prove
+    nothing.
+
+    Plan: records are shuffled by run to find their snapshot's place, then once by (root, hash range), and written to
+    the shared folder with a digest of 16 bytes in place of the payload, so that payloads are read and parsed once.
+    Digests of ranges are summed where those rows are read, and written too; inner nodes are built from them. Records
+    are read again only to be joined with the ranges that differ. A root with a third of all records is spread over up
+    to ``2 ** most_bits`` ranges; a run with a third of them is split by AQE in the join."""
     order = snapshots_in_order(runs, records, per_leaf, most_bits)
     section, key = (F.coalesce(c, F.lit("\0")) for c in ("section", "record_key"))
     placed = (
@@ -111,12 +116,12 @@ def snapshot_changes(runs: DataFrame, records: DataFrame, per_leaf: int = 16, mo
     )
     name = W.partitionBy("root", "leaf").orderBy("n", "section", "record_key", F.desc_nulls_last("delivered_at"), F.desc("a"), F.desc("b"))
     place = F.struct("n", "section", "record_key")
-    once = placed.withColumn("before", F.lag(place).over(name)).filter(F.col("before").isNull() | (F.col("before") != place)).drop("before", "delivered_at")
+    once = stored(placed.withColumn("before", F.lag(place).over(name)).filter(F.col("before").isNull() | (F.col("before") != place)).select("root", "n", "last", "bits", "section", "record_key", "a", "b", "leaf"))
 
     def digest(seed: int, part: str):
         return F.bit_xor(F.xxhash64(F.lit(seed), "section", "record_key", part))
 
-    leaves = once.groupBy("root", "leaf", "n").agg(digest(1, "a").alias("x"), digest(2, "b").alias("y"), F.max("last").alias("last"), F.max("bits").alias("bits"))
+    leaves = stored(once.groupBy("root", "leaf", "n").agg(digest(1, "a").alias("x"), digest(2, "b").alias("y"), F.max("last").alias("last"), F.max("bits").alias("bits")))
     # each node stands in the comparison with the snapshot before (pair n) and with the one after (pair n + 1)
     paired = leaves.withColumn("pair", F.explode(F.array("n", F.col("n") + 1))).filter("pair > 1 AND pair <= last").withColumn("mid", F.expr("shiftright(leaf, bits div 2)"))
 

@@ -279,7 +279,7 @@ def _search_documents(spark, folder):
 
 def bm25_search(spark, folder):
     i = search.Index.build(_search_documents(spark, folder))
-    return search.search(i, "payment cache errors in queue workers", limit=20).select("id", "score", F.array_join("matched", ",").alias("matched"))
+    return search.search(i, QUERY, limit=20).select("id", "score", F.array_join("matched", ",").alias("matched"))
 
 
 def term_frequencies(spark, folder):
@@ -298,7 +298,7 @@ def listing_changes(spark, folder):
     return c.select("repo", "path", "change")
 
 
-from .source_sql import SQL  # noqa: E402, F401
+from .source_sql import QUERY, SQL  # noqa: E402, F401
 
 QUERIES = {
     f.__name__: f

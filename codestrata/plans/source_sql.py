@@ -23,6 +23,7 @@ def values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows) + ")"
 
 
+QUERY = "payment cache errors in queue workers"
 #: DuckDB also takes trailing commas as valid JSON.
 JSON_OK = "(json_valid(text) AND NOT regexp_matches(text, ',\\s*[}\\]]'))"
 DIR = lambda p: f"regexp_extract({p}, '^(.*)/[^/]*$', 1)"
@@ -101,7 +102,7 @@ fe AS (SELECT repo, path AS source, target, CASE WHEN kind = 'internal-file' THE
   FROM res JOIN (SELECT DISTINCT repo, path, specifier, syntax FROM im) USING (repo, path, specifier) WHERE kind <> 'unresolved'),
 lifted AS (SELECT e.repo, a.module AS source, b.module AS target, e.source AS f, e.specifier, e.relationship FROM fe e JOIN mods a ON a.repo = e.repo AND a.path = e.source JOIN mods b ON b.repo = e.repo AND b.path = e.target WHERE e.target_kind = 'file' AND a.module <> b.module),
 me AS (SELECT repo, source, target, count(DISTINCT f) AS files, least(4, count(*)) AS shown, array_to_string(list_sort(list(DISTINCT relationship)), ',') AS relationships FROM lifted GROUP BY ALL)"""
-SIGNALS = "node_signal AS (SELECT 1), pk_signal AS (SELECT * FROM " + values([(s, n) for s, names in SIGNAL_PACKAGES.items() for n in names.split()]) + " AS t(signal, name))"
+SIGNALS = "node_signal AS (SELECT 1), pk_signal AS (SELECT * FROM " + values([(s, n) for s, names in SIGNAL_PACKAGES.items() for n in names]) + " AS t(signal, name))"
 SIG_JOIN = "(p.name = package OR (p.name LIKE '%/*' AND starts_with(package, left(p.name, -1))))"
 NAME_TABLE = values([(r, role_rules.name_pattern(w), x) for r, w, x in role_rules.NAME_RULES])
 SIGNAL_TABLE = values([(s, r, w) for s, r, w, _ in role_rules.SIGNAL_RULES])
@@ -128,7 +129,7 @@ POSTINGS = f"""
 sd AS (SELECT CAST(doc_id AS VARCHAR) AS id, path AS title, text AS body, lang AS k1, source AS k2 FROM documents),
 po AS (SELECT id, term, sum(w)::BIGINT AS tf, bool_or(t) AS in_title FROM (
   {term_rows('title', 3, 'true')} UNION ALL {term_rows('k1', 2, 'false')} UNION ALL {term_rows('k2', 2, 'false')} UNION ALL {term_rows('body', 1, 'false')}) GROUP BY ALL)"""
-_WEIGHTS = values([(t, float(w)) for t, w in query_weights("payment cache errors in queue workers").items()])
+_WEIGHTS = values([(t, float(w)) for t, w in query_weights(QUERY).items()])
 PATH_WORDS = lambda p: f"list_filter(flatten(list_transform(string_split({p}, '/'), lambda s: {SPLIT('s')})), lambda w: length(w) > 1)"
 
 
@@ -179,7 +180,7 @@ u AS (SELECT DISTINCT repo, CASE WHEN reason = 'path-escape' THEN reason WHEN re
   FROM (SELECT *, regexp_extract(regexp_extract(specifier, '([^/]*)$', 1), '([.][^.]*)$', 1) AS ext FROM res) WHERE kind = 'unresolved' AND (reason = 'path-escape' OR ext IN ('', '.ts', '.tsx', '.mts', '.cts', '.js', '.jsx', '.mjs', '.cjs', '.json', '.node')))
 SELECT repo, cause, count(*) AS count, CASE WHEN count(*) = 1 THEN min(subject) END AS subject, array_to_string(list_sort(list(subject))[1:5], '|') AS samples FROM u GROUP BY ALL""",
     "package_signals": f"""WITH {IMPORTS}, {SIGNALS}, s AS (SELECT DISTINCT specifier, {PACKAGE} AS package, {BUILTIN} AS builtin FROM im),
-g AS (SELECT specifier, package, builtin, array_to_string(list_filter([{', '.join("CASE WHEN " + " OR ".join(f"package = {q(n)}" if not n.endswith('/*') else f"starts_with(package, {q(n[:-1])})" for n in names.split()) + f" THEN {q(s)} END" for s, names in SIGNAL_PACKAGES.items())}], lambda x: x IS NOT NULL), ',') AS signals FROM s)
+g AS (SELECT specifier, package, builtin, array_to_string(list_filter([{', '.join("CASE WHEN " + " OR ".join(f"package = {q(n)}" if not n.endswith('/*') else f"starts_with(package, {q(n[:-1])})" for n in names) + f" THEN {q(s)} END" for s, names in SIGNAL_PACKAGES.items())}], lambda x: x IS NOT NULL), ',') AS signals FROM s)
 SELECT specifier, package, builtin, CASE WHEN specifier = 'node:worker_threads' THEN 'worker:usage' WHEN specifier LIKE 'node:%' THEN '' ELSE signals END AS signals,
   CASE WHEN package IS NULL THEN NULL WHEN builtin OR package IN {lst(INFRASTRUCTURE)} THEN 'infrastructure' WHEN package IN {lst(FRAMEWORKS)} THEN 'framework' WHEN package IN {lst(TOOLING)} THEN 'tooling' ELSE 'utility' END AS importance FROM g""",
     "module_files": f"WITH {MODULES} SELECT repo, path, module, basis, directory FROM mods",

@@ -119,11 +119,22 @@ def test_scan_state_and_diff(engine, spark, tree, rows):
     assert report["changes"]["added"] > 5
     again = Engine(spark, {"shop": tree}, engine.store.folder, engine.config)
     assert again.verify() and again.diff().count() == 0
+    assert again.to_read.isEmpty() and not engine.to_read.isEmpty()  # all facts are stored
+    assert sorted(again.facts.drop("metadata").collect(), key=str) == sorted(engine.facts.drop("metadata").collect(), key=str)
     with open(f"{tree}/README.md", "a") as f:
         f.write("more\n")
     later = Engine(spark, {"shop": tree}, engine.store.folder, engine.config)
     assert not later.verify()
     assert ("files", "README.md", "changed") in rows(later.diff(), "section", "key", "change")
+    assert rows(later.to_read, "path") == [("README.md",)]
+    before = later.store.current()
+    with pytest.MonkeyPatch.context() as m:  # a scan that dies leaves the one before
+        m.setattr(type(later.store), "write_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            later.scan()
+    assert later.store.current() == before and engine.stored("files").count() > 0
+    later.scan()
+    assert Engine(spark, {"shop": tree}, engine.store.folder, engine.config).verify()
     other = Engine(spark, {"shop": tree}, engine.store.folder, Config(include=("**/*",), module_depth=3))
     assert {r[0] for r in rows(other.changes(), "change")} <= {"added", "unchanged"}  # other settings: nothing is reused
     assert engine.stored("modules").count() > 0
