@@ -16,6 +16,8 @@ from ..session import cut
 from .tokenizing import token_counts
 
 LEVELS, LEVEL_BITS = 3, 12
+#: Rows of targets that are sent to every worker; a matter of speed only.
+MOST_SENT = 100_000
 
 
 def targets_of(targets: DataFrame) -> DataFrame:
@@ -64,16 +66,19 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str, total: fl
 
     Plan: texts are read once, for the token counts, which are written to the shared folder (a few bytes a
     record). Each level adds map-side sums by source and bucket; only sums are shuffled. Targets, budgets
-    and thresholds have one row per mix and source: they are the user's list of targets, of fixed size."""
+    and thresholds have one row per mix and source, the user's list of targets; they are counted, and sent to all
+    workers up to MOST_SENT rows. A longer list is joined by AQE's choice, which splits hot sources."""
     counted = cut(token_counts(documents, tokenizer_path, [key, "source"]).filter("source IS NOT NULL").withColumn("place", place(key, seed)))
     sizes = counted.groupBy("source").agg(F.sum("tokens").alias("available"))
     plan = cut(budgets(targets, sizes, total))
+    few = plan.count() <= MOST_SENT
+    sent = lambda rows: F.broadcast(rows) if few else rows
     # below: the first place that isn't drawn; left: budget that is left for the open bucket
     open_ = plan.select("mix_name", "source", F.lit(0).cast("long").alias("below"), F.col("rest").alias("left"))
     for level in range(1, LEVELS + 1):
         width = 1 << (LEVELS - level) * LEVEL_BITS
         above = width << LEVEL_BITS
-        inside = counted.join(F.broadcast(open_.filter("left > 0")), "source").filter((F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + above))
+        inside = counted.join(sent(open_.filter("left > 0")), "source").filter((F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + above))
         sums = inside.groupBy("mix_name", "source", "below", "left", F.floor((F.col("place") - F.col("below")) / width).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
         running = F.sum("tokens").over(W.partitionBy("mix_name", "source").orderBy("bucket"))
         at = sums.withColumn("upto", running).filter(F.col("upto") > F.col("left"))
@@ -84,7 +89,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer_path: str, total: fl
         )
     cuts = plan.join(open_.select("mix_name", "source", "below"), ["mix_name", "source"], "left").select("mix_name", "source", "copies", F.coalesce("below", F.lit(0)).alias("below"))
     copies = F.col("copies") + (F.col("place") < F.col("below")).cast("int")
-    draws = counted.join(F.broadcast(cuts), "source").withColumn("copies", copies).filter("copies > 0").select("mix_name", key, "source", "tokens", "copies")
+    draws = counted.join(sent(cuts), "source").withColumn("copies", copies).filter("copies > 0").select("mix_name", key, "source", "tokens", "copies")
     drawn = draws.groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.max("copies").alias("max_copies"))
     done = F.coalesce("drawn_tokens", F.lit(0))
     shares = plan.join(drawn, ["mix_name", "source"], "left").select(
