@@ -47,7 +47,15 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     repo = a.repo or os.path.basename(os.path.abspath(a.root))
     given = {k: tuple(x for v in getattr(a, k) for x in split_list(v)) for k in ("include", "exclude") if getattr(a, k)}
-    show = lambda df, n=200: [print(json.dumps(r.asDict(True), default=str)) for r in df.limit(n).collect()]
+
+    def show(df, n: int = 200) -> None:
+        """One JSON line a row; more than ``n`` rows are left in the store, and that is said."""
+        found = df.limit(n + 1).collect()
+        for r in found[:n]:
+            print(json.dumps(r.asDict(True), default=str))
+        if len(found) > n:
+            print(f"the first {n} rows; read the stored tables for all", file=sys.stderr)
+
     try:
         e = Engine(local_session(), {repo: a.root}, a.store or os.path.join(a.root, ".codestrata"), Config(**given))
         if a.command == "init":

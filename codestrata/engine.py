@@ -282,7 +282,7 @@ class Engine:
         body = text(word("kind: ", F.col("kind")), word("language: ", F.col("language")), word("module: ", F.col("module")), word("signals: ", F.array_join("signals", ", ")), word("exports: ", some("names", 25)), word("routes: ", F.array_join(F.transform("routes", lambda r: F.concat(r["method"], F.lit(" "), r["path"])), ", ")), word("imports: ", some(F.array_distinct(F.transform("imports", lambda i: i["specifier"])), 20)))
         parts = [ff.select("repo", key("file", "path"), F.lit("file").alias("type"), F.col("path").alias("title"), body.alias("body"), F.array_compact(F.concat(F.array("language", "kind", "module"), F.coalesce("signals", F.array().cast("array<string>")))).alias("keywords"))]
         r = self.roles.groupBy("repo", "module").agg(F.array_sort(F.collect_list("role")).alias("roles"))
-        mm = m.groupBy("repo", "module", "basis", "directory").agg(F.count("*").alias("n")).join(r, ["repo", "module"], "left").join(modules.neighbours(self.module_edges), ["repo", "module"], "left")
+        mm = m.groupBy("repo", "module", "basis", "directory").agg(F.count("*").alias("n")).join(r, ["repo", "module"], "left").join(modules.neighbour_lists(self.module_edges, 2**31 - 1), ["repo", "module"], "left")
         body = text(word("path: ", F.col("directory")), word("basis: ", F.col("basis")), word("roles: ", F.array_join("roles", ", ")), word("depends on: ", F.array_join("depends_on", ", ")), word("used by: ", F.array_join("used_by", ", ")), F.concat(F.lit("files: "), F.col("n").cast("string")))
         parts.append(mm.select("repo", key("module", "module"), F.lit("module").alias("type"), F.col("module").alias("title"), body.alias("body"), F.array_compact(F.concat(F.array("directory", "basis"), F.coalesce("roles", F.array().cast("array<string>")))).alias("keywords")))
         s = self.symbols

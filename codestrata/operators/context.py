@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from .graph import between, reachable
-from .modules import neighbours
+from .modules import neighbour_lists
 
 COMPACT_BELOW = 8192
 
@@ -139,9 +139,9 @@ def repository_overview(t: Tables, repo: str | None = None, modules: int = 25, e
     """Counts, the most important modules (used by ten times, then files), packages by class and use, entry points."""
     f = lambda df: df if repo is None else df.filter(F.col("repo") == repo)
     files, mods = f(t.files), f(t.modules)
-    n = neighbours(f(t.module_edges))
+    n = neighbour_lists(f(t.module_edges))
     m = mods.groupBy("repo", "module", "basis", "directory").agg(F.count("*").alias("files")).join(n, ["repo", "module"], "left")
-    score = F.coalesce(F.size("used_by"), F.lit(0)) * 10 + F.col("files")
+    score = F.coalesce("used_by_n", F.lit(0)) * 10 + F.col("files")
     from ..functions.packages import is_builtin
 
     rank = F.when(F.col("importance") == "infrastructure", 3).when(F.col("importance") == "framework", 2).when(F.col("importance") == "tooling", 1).otherwise(0) * 1000 + F.col("modules") - F.when(is_builtin(F.col("name")), 10_000).otherwise(0)

@@ -113,9 +113,22 @@ def externals(edges: DataFrame, modules: DataFrame, declared: DataFrame) -> Data
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
-    """``repo, module, depends_on, used_by`` of modules with an edge, both sorted."""
-    both = edges.select("repo", F.col("source").alias("module"), F.col("target").alias("to"), F.lit(None).cast("string").alias("by")).union(edges.select("repo", F.col("target"), F.lit(None).cast("string"), F.col("source")))
-    return both.groupBy("repo", "module").agg(F.array_sort(F.collect_set("to")).alias("depends_on"), F.array_sort(F.collect_set("by")).alias("used_by"))
+    """``repo, module, side, other``: one row per neighbour, side is ``depends_on`` or ``used_by``. A hub's neighbours
+    are rows like any others; see ``neighbour_lists``."""
+    rows = edges.select("repo", "source", "target").distinct()
+    out = rows.select("repo", F.col("source").alias("module"), F.lit("depends_on").alias("side"), F.col("target").alias("other"))
+    return out.unionByName(rows.select("repo", F.col("target").alias("module"), F.lit("used_by").alias("side"), F.col("source").alias("other")))
+
+
+def neighbour_lists(edges: DataFrame, most: int = 50) -> DataFrame:
+    """``repo, module, depends_on, depends_on_n, used_by, used_by_n``: how many neighbours on each side, and the first
+    of them by name. A hub is spread by a hash of its neighbours, of which each part gives its first ones."""
+    n = neighbours(edges).withColumn("part", F.pmod(F.xxhash64("other"), F.lit(64)))
+    r = n.withColumn("r", F.row_number().over(W.partitionBy("repo", "module", "side", "part").orderBy("other")))
+    parts = r.groupBy("repo", "module", "side", "part").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("r") <= most, F.col("other"))).alias("l"))
+    side = lambda c, s: F.when(F.col("side") == s, F.col(c))
+    a = parts.groupBy("repo", "module").agg(*(f for s in ("depends_on", "used_by") for f in (F.slice(F.array_sort(F.flatten(F.collect_list(side("l", s)))), 1, most).alias(s), F.coalesce(F.sum(side("n", s)), F.lit(0)).alias(f"{s}_n"))))
+    return a.select("repo", "module", "depends_on", "depends_on_n", "used_by", "used_by_n")
 
 
 def incoming(edges: DataFrame) -> DataFrame:

@@ -162,8 +162,12 @@ def module_edges(spark, folder):
 
 
 def module_neighbours(spark, folder):
-    n = modules.neighbours(_module_edges(spark, folder))
-    return n.select("repo", "module", F.array_join("depends_on", "|").alias("depends_on"), F.array_join("used_by", "|").alias("used_by"))
+    return modules.neighbours(_module_edges(spark, folder))
+
+
+def neighbour_lists(spark, folder):
+    n = modules.neighbour_lists(_module_edges(spark, folder), 5)
+    return n.select("repo", "module", F.array_join("depends_on", "|").alias("depends_on"), "depends_on_n", F.array_join("used_by", "|").alias("used_by"), "used_by_n")
 
 
 def incoming_imports(spark, folder):
@@ -304,6 +308,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         path_parts, identifier_case_tally, dominant_case, stem_terms, path_words, classified_files, sensitive_files, scan_scope, secret_rules, languages_counted, content_duplicates, markdown_headings, markdown_links, json_keys, manifests, static_imports, resolved_imports, import_gaps, package_signals,
-        module_files, module_edges, module_neighbours, incoming_imports, external_packages, directory_cycles, dependents_within_3, affected_modules, edges_between, longest_prefix, noisy_or_roles, layering_violations, precision_recall, evidence_coverage, first_wins, set_difference, import_statistics, package_managers, parse_reuse, unread_targets, bm25_search, term_frequencies, listing_changes,
+        module_files, module_edges, module_neighbours, neighbour_lists, incoming_imports, external_packages, directory_cycles, dependents_within_3, affected_modules, edges_between, longest_prefix, noisy_or_roles, layering_violations, precision_recall, evidence_coverage, first_wins, set_difference, import_statistics, package_managers, parse_reuse, unread_targets, bm25_search, term_frequencies, listing_changes,
     )
 }

@@ -185,8 +185,9 @@ SELECT specifier, package, builtin, CASE WHEN specifier = 'node:worker_threads'
   CASE WHEN package IS NULL THEN NULL WHEN builtin OR package IN {lst(INFRASTRUCTURE)} THEN 'infrastructure' WHEN package IN {lst(FRAMEWORKS)} THEN 'framework' WHEN package IN {lst(TOOLING)} THEN 'tooling' ELSE 'utility' END AS importance FROM g""",
     "module_files": f"WITH {MODULES} SELECT repo, path, module, basis, directory FROM mods",
     "module_edges": f"WITH {EDGES} SELECT repo, source, target, files, relationships, shown FROM me",
-    "module_neighbours": f"""WITH {EDGES}, b AS (SELECT repo, source AS module, target AS t, NULL AS s FROM me UNION ALL SELECT repo, target, NULL, source FROM me)
-SELECT repo, module, coalesce(array_to_string(list_sort(list(DISTINCT t)), '|'), '') AS depends_on, coalesce(array_to_string(list_sort(list(DISTINCT s)), '|'), '') AS used_by FROM b GROUP BY ALL""",
+    "module_neighbours": f"WITH {EDGES} SELECT repo, source AS module, 'depends_on' AS side, target AS other FROM me UNION ALL SELECT repo, target, 'used_by', source FROM me",
+    "neighbour_lists": f"""WITH {EDGES}, b AS (SELECT repo, source AS module, target AS t, NULL AS s FROM me UNION ALL SELECT repo, target, NULL, source FROM me)
+SELECT repo, module, coalesce(array_to_string(list_sort(list(DISTINCT t) FILTER (t IS NOT NULL))[1:5], '|'), '') AS depends_on, count(DISTINCT t) AS depends_on_n, coalesce(array_to_string(list_sort(list(DISTINCT s) FILTER (s IS NOT NULL))[1:5], '|'), '') AS used_by, count(DISTINCT s) AS used_by_n FROM b GROUP BY ALL""",
     "incoming_imports": f"WITH {EDGES} SELECT repo, target AS path, count(*) AS imported FROM fe WHERE target_kind = 'file' GROUP BY ALL",
     "external_packages": f"""WITH {EDGES}
 SELECT repo, name, 'runtime' AS scope, files, modules, CASE WHEN builtin OR name IN {lst(INFRASTRUCTURE)} THEN 'infrastructure' WHEN name IN {lst(FRAMEWORKS)} THEN 'framework' WHEN name IN {lst(TOOLING)} THEN 'tooling' ELSE 'utility' END AS importance,

@@ -1,11 +1,13 @@
 """Version history as tables: the text that ``git log`` and ``git diff`` print, parsed with Columns.
 
-The commands run on the driver, where the checkout is; their output is one text per repository. A missing git or
-history is reported, never an error."""
+The commands run on the driver, where the checkouts are, some at a time; of their output each commit is a row. A missing
+git or history is reported, never an error; one that takes too long is a warning."""
 
 from __future__ import annotations
 
 import subprocess
+import warnings
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,10 @@ class Git:
     def run(self, *args: str) -> str | None:
         try:
             done = subprocess.run(["git", "-c", "safe.directory=*", "-C", self.root, *args], capture_output=True, text=True, errors="replace", timeout=self.timeout)
-        except (OSError, subprocess.TimeoutExpired):
+        except subprocess.TimeoutExpired:
+            warnings.warn(f"git {args[0]} in {self.root} took more than {self.timeout} s; what it would tell is left out", stacklevel=2)
+            return None
+        except OSError:
             return None
         return done.stdout if done.returncode == 0 else None
 
@@ -63,5 +68,7 @@ def parse_diff(diffs: DataFrame) -> DataFrame:
 
 
 def read_history(spark: SparkSession, roots: dict[str, str], window_days: int = 180, most: int = 5000) -> tuple[DataFrame, DataFrame]:
-    logs = [(repo, Git(root).log(window_days, most)) for repo, root in roots.items()]
-    return parse_log(spark.createDataFrame(logs, "repo string, log string"))
+    with ThreadPoolExecutor(8) as pool:
+        logs = list(pool.map(lambda root: Git(root).log(window_days, most), roots.values()))
+    rows = [(repo, RECORD + c) for repo, log in zip(roots, logs) for c in log.split(RECORD) if c.strip()]
+    return parse_log(spark.createDataFrame(rows, "repo string, log string"))
