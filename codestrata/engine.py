@@ -12,7 +12,7 @@ from .config import Config, Policy
 from .errors import AnalysisError, ReadOnlyError, StateError
 from .functions import paths as P
 from .functions.words import query_weights
-from .operators import activity, context, conventions, decisions, diff, entry_points, graph, issues, modules, resolution, rules, search, workspace
+from .operators import activity, context, conventions, decisions, diagnostics, diff, entry_points, graph, issues, modules, resolution, rules, search, workspace
 from .operators import files as file_ops
 from .session import cut, stored
 from .sources.facts import Registry, default_registry, exploded, read_facts
@@ -309,6 +309,12 @@ class Engine:
             found = reranker(text, found)
         return search.results(found, i.documents, len(query_weights(text))).orderBy(F.desc("score"), "id")
 
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        """Files that failed, were read in part, or weren't opened, in one order."""
+        left_out = F.when(F.col("too_large"), "larger than the limit")
+        return cut(diagnostics.of_files(self.files.withColumn("skipped_reason", left_out)))
+
     # state
     def state(self) -> DataFrame:
         return self.files.select("repo", "path", "hash", "size", "mtime_ms", "language", "kind", (F.col("sensitive") | F.col("too_large")).alias("blocked"))
@@ -374,4 +380,21 @@ class Engine:
         self._write().clear()
 
 
-__all__ = ["Engine", "Registry"]
+class Pool:
+    """One engine per set of sources, made when it is first asked for. One that can't be made isn't kept."""
+
+    def __init__(self, make, most: int = 8):
+        self.make, self.most, self._kept = make, most, {}
+
+    def get(self, name: str) -> Engine:
+        """The engine of a name, the least recently asked for giving way beyond ``most``."""
+        if name in self._kept:
+            self._kept[name] = self._kept.pop(name)
+        else:
+            self._kept[name] = self.make(name)  # what is raised here leaves nothing behind
+            while len(self._kept) > self.most:
+                self._kept.pop(next(iter(self._kept)))
+        return self._kept[name]
+
+
+__all__ = ["Engine", "Pool", "Registry"]

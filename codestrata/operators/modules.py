@@ -112,6 +112,16 @@ def externals(edges: DataFrame, modules: DataFrame, declared: DataFrame) -> Data
     return j.select("repo", "name", "scope", F.coalesce("declared_by", F.array().cast("array<string>")).alias("declared_by"), "files", "modules", F.col("i.value").alias("importance"), level.alias("confidence"), "undeclared")
 
 
+def file_dependencies(edges: DataFrame, modules: DataFrame) -> DataFrame:
+    """``repo, path, modules, packages``: of each file with an edge, the modules (other than its own) and the packages
+    and built-ins that it uses, each once, in order. What one file imports is gathered, which its text bounds."""
+    m = modules.select("repo", "path", "module")
+    e = edges.select("repo", F.col("source").alias("path"), "target", "target_kind").distinct().join(m.withColumnRenamed("module", "own"), ["repo", "path"], "left").join(m.withColumnsRenamed({"path": "target", "module": "to"}), ["repo", "target"], "left")
+    to = F.when(F.col("target_kind") == "module", F.col("target")).when(F.col("target_kind") == "file", F.col("to"))
+    each = lambda c: F.array_sort(F.collect_set(c))
+    return e.groupBy("repo", "path").agg(each(F.when(~to.eqNullSafe(F.col("own")), to)).alias("modules"), each(F.when(F.col("target_kind") == "package", F.col("target"))).alias("packages"))
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """``repo, module, side, other``: one row per neighbour, side is ``depends_on`` or ``used_by``. A hub's neighbours
     are rows like any others; see ``neighbour_lists``."""

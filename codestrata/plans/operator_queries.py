@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import words
 from ..functions.packages import FRAMEWORKS, INFRASTRUCTURE, TOOLING, signals
 from ..functions.spelling import plain_hash
-from ..operators import activity, diff, modules, resolution, rules, search
+from ..operators import activity, diagnostics, diff, modules, resolution, rules, search
 from ..operators import files as file_ops
 from ..session import table
 from . import source_queries as S
@@ -100,7 +100,19 @@ def commit_history(spark, folder):
     return h.select("repo", "sha", "author", F.array_join("files", ",").alias("files"), "architectural")
 
 
-QUERIES = {f.__name__: f for f in (word_functions, file_records, status_of_roots, workspace_imports, declared_packages, module_signals, bm25_of_types, context_diff, commit_touches, commit_history)}
+def file_dependencies(spark, folder):
+    d = modules.file_dependencies(S._edges(spark, folder), S._modules(spark, folder))
+    return d.select("repo", "path", F.array_join("modules", ",").alias("modules"), F.array_join("packages", ",").alias("packages"))
+
+
+def file_diagnostics(spark, folder):
+    """Of the scanner's latest record of each file."""
+    best = F.max(F.struct("scanned_at", "parse_status", "skipped_reason", "sensitive"))
+    f = table(spark, folder, "files").groupBy("repo", "path").agg(best.alias("b")).select("repo", "path", "b.parse_status", "b.skipped_reason", "b.sensitive")
+    return diagnostics.of_files(f).withColumn("rank", F.col("rank").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (file_dependencies, file_diagnostics, word_functions, file_records, status_of_roots, workspace_imports, declared_packages, module_signals, bm25_of_types, context_diff, commit_touches, commit_history)}
 
 _HISTORY = "cf AS (SELECT p_type AS repo, CAST(l_orderkey AS VARCHAR) AS sha, CAST(l_partkey AS VARCHAR) AS path FROM lineitem JOIN part ON p_partkey = l_partkey), co AS (SELECT c.repo, c.sha, o_custkey AS author, o_orderdate AS ts FROM (SELECT DISTINCT repo, sha FROM cf) c JOIN orders ON CAST(o_orderkey AS VARCHAR) = c.sha)"
 _LINES = "length(text) - length(replace(text, chr(10), ''))"
@@ -108,6 +120,13 @@ _ONE = f"trim(regexp_replace(text, {Q.q(words.SPACE)}, ' ', 'g'))"
 _MODULES_OF = lambda t, name: Q.MODULES.replace("FROM documents WHERE", f"FROM {t} WHERE").replace("src AS", f"src_{name} AS").replace("FROM src ", f"FROM src_{name} ").replace("dirs AS", f"dirs_{name} AS").replace("FROM dirs ", f"FROM dirs_{name} ").replace("mdir AS", f"mdir_{name} AS").replace("JOIN mdir ", f"JOIN mdir_{name} ").replace("mods AS", f"mods_{name} AS").replace("FROM src GROUP", f"FROM src_{name} GROUP")
 
 SQL = {
+    "file_dependencies": f"""WITH {Q.EDGES}, x AS (SELECT DISTINCT e.repo, e.source AS path, CASE WHEN e.target_kind = 'file' AND b.module IS DISTINCT FROM a.module THEN b.module END AS m, CASE WHEN e.target_kind = 'package' THEN e.target END AS p
+  FROM fe e LEFT JOIN mods a ON a.repo = e.repo AND a.path = e.source LEFT JOIN mods b ON b.repo = e.repo AND b.path = e.target)
+SELECT repo, path, coalesce(array_to_string(list_sort(list(DISTINCT m) FILTER (m IS NOT NULL)), ','), '') AS modules, coalesce(array_to_string(list_sort(list(DISTINCT p) FILTER (p IS NOT NULL)), ','), '') AS packages FROM x GROUP BY ALL""",
+    "file_diagnostics": """WITH l AS (SELECT repo, path, parse_status, skipped_reason, sensitive FROM files QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY scanned_at DESC NULLS LAST, parse_status DESC NULLS LAST, skipped_reason DESC NULLS LAST, sensitive DESC NULLS LAST) = 1),
+x AS (SELECT repo, 'failed-parse' AS code, 'warning' AS severity, path AS source, 'no facts were read' AS message FROM l WHERE parse_status = 'failed' UNION ALL SELECT repo, 'partial-parse', 'info', path, 'read in part' FROM l WHERE parse_status = 'partial'
+  UNION ALL SELECT repo, 'sensitive-file', 'info', path, 'not opened' FROM l WHERE sensitive UNION ALL SELECT repo, 'skipped-file', 'info', path, 'left out: ' || lower(trim(skipped_reason)) FROM l WHERE skipped_reason IS NOT NULL AND NOT coalesce(sensitive, false))
+SELECT *, row_number() OVER (PARTITION BY repo, code ORDER BY source NULLS FIRST, message) AS rank FROM x""",
     "word_functions": f"""SELECT doc_id, CASE WHEN text IS NULL THEN '…' WHEN length(one) <= 60 THEN one ELSE rtrim(substr(one, 1, 59)) || '…' END AS short, CAST(lines AS VARCHAR) || CASE WHEN lines = 1 THEN ' line' ELSE ' lines' END AS lines,
   CAST(lines AS VARCHAR) || CASE WHEN lines = 1 THEN ' entry' ELSE ' entries' END AS entries, round(least(0.99::DOUBLE, n / 5003), 2) AS level, CASE WHEN n > 0 THEN round(lines / n, 6) ELSE 0 END AS share, strftime(fetched_at, '%Y-%m-%d') AS day, substr(sha256(path), 1, 8) AS key
 FROM (SELECT *, {_LINES} AS lines, {_ONE} AS one, coalesce(length(text), 0)::DOUBLE AS n FROM documents)""".replace("CASE WHEN text IS NULL THEN '…' WHEN", "CASE WHEN text IS NULL THEN NULL WHEN"),

@@ -6,12 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codestrata.engine import Pool
 from codestrata.functions import paths as P
 from codestrata.functions import words
 from codestrata.functions.globs import ignore_lines, last_match, matcher
 from codestrata.functions.packages import importance, is_builtin, package_name, signals
 from codestrata.functions.secret_rules import matched_rules, redact
-from codestrata.operators import activity, graph, modules, resolution, search, tables
+from codestrata.operators import activity, diagnostics, graph, modules, resolution, search, tables
 from codestrata.operators import files as file_ops
 from codestrata.sources.documents import read_compiler, read_json, read_markdown, read_package, relax, workspace_globs
 from codestrata.sources.git_history import parse_diff, parse_log
@@ -196,3 +197,29 @@ def test_partition_number_does_not_change_results(spark, rows):
         got.append([rows(QUERIES[q](spark, folder)) for q in ("import_gaps", "content_duplicates")])
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1]
+
+
+def test_diagnostics_and_dependencies(spark, rows):
+    f = spark.createDataFrame([("r", "b.ts", "failed", None, False), ("r", "a.ts", "failed", None, None), ("r", "c.ts", "partial", " Too Large", False), ("r", ".env", None, "x", True), ("r", None, "failed", None, False), ("r", "d.ts", None, None, None)], "repo string, path string, parse_status string, skipped_reason string, sensitive boolean")
+    got = rows(diagnostics.of_files(f), "code", "rank", "source")
+    assert got == [("failed-parse", 1, None), ("failed-parse", 2, "a.ts"), ("failed-parse", 3, "b.ts"), ("partial-parse", 1, "c.ts"), ("sensitive-file", 1, ".env"), ("skipped-file", 1, "c.ts")]
+    assert diagnostics.of_severity(diagnostics.of_files(f), "warning").count() == 3 and diagnostics.of_files(f.limit(0)).count() == 0
+    e = spark.createDataFrame([("r", "a/x", "b/y", "file"), ("r", "a/x", "a/z", "file"), ("r", "a/x", "zod", "package"), ("r", "a/x", "zod", "package"), ("r", "n", "fs", "package")], "repo string, source string, target string, target_kind string")
+    m = spark.createDataFrame([("r", "a/x", "a"), ("r", "a/z", "a"), ("r", "b/y", "b")], "repo string, path string, module string")
+    assert rows(modules.file_dependencies(e, m), "path", "modules", "packages") == [("a/x", ["b"], ["zod"]), ("n", [], ["fs"])]
+    edges = spark.createDataFrame([("r", "hub", f"m{i:02}") for i in range(70)] + [("r", "m00", "hub")], "repo string, source string, target string")
+    lists = {r["module"]: r for r in modules.neighbour_lists(edges, 3).collect()}
+    assert (lists["hub"]["depends_on"], lists["hub"]["depends_on_n"], lists["hub"]["used_by"]) == (["m00", "m01", "m02"], 70, ["m00"]) and lists["m05"]["depends_on_n"] == 0
+    assert modules.neighbours(edges).count() == 142
+
+
+def test_pool():
+    made = []
+    pool = Pool(lambda n: made.append(n) or (n if n != "bad" else 1 / 0), 2)
+    assert [pool.get(n) for n in ("a", "b", "a", "c", "a")] == list("abaca") and made == ["a", "b", "c"]
+    for _ in range(2):
+        try:
+            pool.get("bad")
+        except ZeroDivisionError:
+            pass
+    assert made[-2:] == ["bad", "bad"]
