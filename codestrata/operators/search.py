@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import analyze, path_words, query_weights, stem, truncate
-from ..session import stored
+from ..session import spread, stored
 
 WEIGHTS = {"title": 3, "keywords": 2, "body": 1}
 K1, B, TITLE_BOOST, IDENTIFIER_BOOST = 1.2, 0.75, 1.35, 0.9
 
 
+def _once(rows: DataFrame, *made) -> DataFrame:
+    """``id`` and the columns ``made``, each evaluated once a row: a generator isn't merged with the projections after
+    it, as a plain projection would be, whose arrays would be made anew wherever a lambda names them."""
+    return rows.select("id", F.inline(F.array(F.struct(*made))))
+
+
 def term_rows(documents: DataFrame) -> DataFrame:
     """``id, length, terms`` of ``documents`` (id, title, keywords array, body): terms are structs of term, tf and
     in_title, length is the sum of tf. A field counts a term once, each entry of keywords is a field; frequencies are
@@ -23,7 +29,7 @@ def term_rows(documents: DataFrame) -> DataFrame:
     title = F.coalesce(analyze(F.col("title"), True), empty).alias("title")
     keys = F.coalesce(F.flatten(F.transform(F.coalesce("keywords", empty), lambda k: F.coalesce(analyze(k, True), empty))), empty).alias("keys")
     body = F.coalesce(analyze(F.col("body"), True), empty).alias("body")
-    rows = documents.select("id", title, keys, body)
+    rows = _once(spread(documents), title, keys, body)
 
     def entry(t, in_body: int):
         named = F.array_contains("title", t)
@@ -31,7 +37,7 @@ def term_rows(documents: DataFrame) -> DataFrame:
         return F.struct(t.alias("term"), tf.cast("long").alias("tf"), named.alias("in_title"))
 
     elsewhere = F.array_except(F.array_distinct(F.concat("title", "keys")), F.col("body"))
-    rows = rows.select("id", F.concat(F.transform("body", lambda t: entry(t, 1)), F.transform(elsewhere, lambda t: entry(t, 0))).alias("terms"))
+    rows = _once(rows, F.concat(F.transform("body", lambda t: entry(t, 1)), F.transform(elsewhere, lambda t: entry(t, 0))).alias("terms"))
     return rows.select("id", F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + t["tf"]).alias("length"), "terms")
 
 

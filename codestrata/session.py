@@ -52,6 +52,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Bytes up to which an input that comes in fewer files than there are cores is spread over the cores.
+SMALL = 256 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, over all cores, where they are a small input in few files (a file of one row group is one task,
+    however long its texts take). Larger inputs, and those of many files, stay where they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size <= SMALL and 0 < len(rows.inputFiles()) < cores else rows
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, kept in the shared folder (survives lost executors)."""
     shared_folder(df.sparkSession)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.packages import signals
+from ..session import spread
 from .documents import read_compiler, read_json, read_markdown, read_package, read_workspace
 from .script_facts import read_script
 
@@ -97,7 +98,7 @@ def read_facts(files: DataFrame, languages: tuple[str, ...] | None = None, regis
                     rows, pending = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    read = files.select("repo", "path", "text").mapInArrow(run, FACTS)
+    read = spread(files.select("repo", "path", "text")).mapInArrow(run, FACTS)
     implied = F.flatten(F.transform("imports", lambda i: signals(i["specifier"])))
     return read.withColumn("signals", F.array_sort(F.array_distinct(F.concat("signals", implied))))
 

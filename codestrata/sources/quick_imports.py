@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 SCRIPTS = r"\.[cm]?[jt]sx?$"
 # Escapes go first, so that strings end at the next quote; then comments, strings kept.
 ESCAPE = r"\\[^\n]"
@@ -30,7 +32,7 @@ SYNTAX = (
 
 def quick_imports(files: DataFrame) -> DataFrame:
     """``repo, path, at, specifier, syntax`` of scripts, in the order of the text; null texts and paths have none."""
-    rows = files.filter(F.col("path").rlike(SCRIPTS))
+    rows = spread(files.filter(F.col("path").rlike(SCRIPTS)).select("repo", "path", "text"))
     plain = F.regexp_replace(F.regexp_replace("text", ESCAPE, ""), COMMENT, "$1")
     found = F.filter(F.regexp_extract_all(plain, F.lit(STATEMENT), 1), lambda s: s != "")
     kind = F.lit("static")
