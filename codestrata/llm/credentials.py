@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from .config_paths import entries, format_of
 
 MASK = "[REDACTED]"
@@ -418,7 +419,7 @@ def find(documents: DataFrame, patterns: tuple = (), key: str = "doc_id") -> Dat
                 names=[key, *FOUND.names],
             )
 
-    rows = documents.select(key, "path", "text")
+    rows = spread(documents.select(key, "path", "text"))
     return rows.mapInArrow(run, T.StructType([rows.schema[key], *FOUND.fields]))
 
 
@@ -442,6 +443,6 @@ def redact(documents: DataFrame, policies: DataFrame, patterns: tuple = (), key:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=[key, "text", "credentials"])
 
     owner = policies.groupBy("org").agg(F.min(F.coalesce("redact_secrets", F.lit(True))).alias("no")).select(F.col("org").alias("_org"), F.col("no").alias("_wanted"))
-    rows = documents.select(key, "path", "text", "repo").withColumn("_org", F.substring_index("repo", "/", 1)).join(owner, "_org", "left")
+    rows = spread(documents.select(key, "path", "text", "repo")).withColumn("_org", F.substring_index("repo", "/", 1)).join(owner, "_org", "left")
     rows = rows.select(key, "path", "text", F.coalesce("_wanted", F.lit(True)).alias("_wanted"))
     return rows.mapInArrow(run, T.StructType([rows.schema[key], T.StructField("text", T.StringType()), T.StructField("credentials", T.LongType())]))

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import spread, stored
 from ..sources.script_tokens import RESERVED
 from .tokenizing import chunks
 
@@ -304,7 +304,7 @@ def machine_written(documents: DataFrame, libraries: DataFrame, only_found: bool
                     codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(all_codes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(why, pa.string()), pa.array(names, pa.string()), codes], names=[key, "reason", "name", "codes"])
 
-    rows = documents.select(key, F.coalesce("path", F.lit("")).alias("path"), "text")
+    rows = spread(documents.select(key, F.coalesce("path", F.lit("")).alias("path"), "text"))
     out = T.StructType([rows.schema[key], T.StructField("reason", T.StringType()), T.StructField("name", T.StringType()), T.StructField("codes", T.ArrayType(T.LongType()))])
     judged = stored(rows.mapInArrow(run, out).withColumn("row", F.monotonically_increasing_id()))
     if shared is None:

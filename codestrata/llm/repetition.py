@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import spread
 from .tokenizing import chunks
 
 STRETCH = 10
@@ -255,6 +256,6 @@ def repetition(documents: DataFrame, share: float | None = None, key: str = "doc
                 out = pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(words.astype(np.int64)), pa.array(repeated.astype(np.int64)), pa.array(repeated / of), pa.array(np.where(words > 0, content / of, 1.0))], names=[key, "words", "repeated", "repeated_share", "content_share"])
                 yield out if share is None else out.filter(pa.array((words >= STRETCH) & (content <= KEEP * words) & (repeated >= share * words - 1e-9)))
 
-    rows = documents.select(key, text)
+    rows = spread(documents.select(key, text))
     out = T.StructType([rows.schema[key], T.StructField("words", T.LongType()), T.StructField("repeated", T.LongType()), T.StructField("repeated_share", T.DoubleType()), T.StructField("content_share", T.DoubleType())])
     return rows.mapInArrow(run, out)

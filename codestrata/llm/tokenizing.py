@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import spread
+
 VOCABULARY = "byte_bpe_50k"
 
 # The contractions and classes of the vocabulary's published splitting pattern. White space is
@@ -174,7 +176,7 @@ def encode_column(documents: DataFrame, path: str, key: str = "doc_id", text: st
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=[key, "ids"])
 
-    rows = documents.select(key, text)
+    rows = spread(documents.select(key, text))
     out = T.StructType([rows.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(run, out)
 
@@ -194,5 +196,5 @@ def token_counts(documents: DataFrame, path: str, keep: list[str], text: str = "
                         counts[i] = sum(map(len, map(encoder.known.__getitem__, words)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts)], names=[*keep, "tokens"])
 
-    rows = documents.select(*keep, text)
+    rows = spread(documents.select(*keep, text))
     return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in keep), T.StructField("tokens", T.LongType())]))

@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stored
+from ..session import spread, stored
 from ..sources.script_tokens import CONTEXTUAL, RESERVED, Tokens, lex
 from .script_grammar import ASSIGN, NAMES, Module
 from .token_pairs import JSON, PYTHON, SCRIPT, YAML, permitted, within
@@ -250,7 +250,7 @@ def lexed(documents: DataFrame, key: str = "doc_id", placed: bool = True) -> Dat
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(o[n]) for o in out])]), pa.int32()), pa.array(np.concatenate([o[n] for o in out]), t)) for n, t in ((1, pa.int64()), (2, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([o[0] for o in out], pa.string()), *lists, pa.array([o[3] for o in out], pa.list_(pa.binary())), pa.array([o[4] for o in out], pa.list_(pa.int32())), pa.array([o[5] for o in out], pa.int32())], names=[key, "repo", "language", "tokens", "lines", "windows", "begins", "bad"])
 
-    rows = documents.select(key, "repo", "path", "text")
+    rows = spread(documents.select(key, "repo", "path", "text"))
     fields = [T.StructField("repo", T.StringType()), T.StructField("language", T.StringType()), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("lines", T.ArrayType(T.IntegerType())), T.StructField("windows", T.ArrayType(T.BinaryType())), T.StructField("begins", T.ArrayType(T.IntegerType())), T.StructField("bad", T.IntegerType())]
     return rows.mapInArrow(run, T.StructType([rows.schema[key], *fields]))
 
